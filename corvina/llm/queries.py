@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corvina.llm.languages import label_languages, mislabelled
+from corvina.llm.levels import level_profile, reading_levels
 from corvina.llm.mixing import Mix
 from corvina.llm.neighbours import nearest_vectors, similar_pairs
 from corvina.llm.packing import container_fill, pack_texts
@@ -16,6 +18,16 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_pairs(nearest_vectors(read_table(spark, sf_dir, "question_chunks")))
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    levels = reading_levels(read_table(spark, sf_dir, "questions"))
+    return levels.where(F.col("level").isNotNull()).select(F.col("id").alias("question_id"), "level")
+
+
+def p6_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    questions = read_table(spark, sf_dir, "questions")
+    return level_profile(reading_levels(questions), questions)
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = split_oversized(read_table(spark, sf_dir, "question_chunks"))
     return pieces.where(F.col("n_pieces") > 1).select(F.col("id").alias("chunk_id")).distinct()
@@ -46,14 +58,27 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mix(spark, sf_dir).shares()
 
 
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cases = mislabelled(label_languages(read_table(spark, sf_dir, "documents")))
+    return cases.select(F.col("id").alias("doc_id"), "language").distinct()
+
+
+def p10_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return label_languages(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "p2_found": p2_found,
+    "p6_found": p6_found,
+    "p6_profile": p6_profile,
     "p7_found": p7_found,
     "p7_pieces": p7_pieces,
     "p8_found": p8_found,
     "p8_containers": p8_containers,
     "p9_mix": p9_mix,
     "p9_shares": p9_shares,
+    "p10_found": p10_found,
+    "p10_languages": p10_languages,
 }
 
 ORACLE: dict[str, str] = {}
