@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corvina.llm import encoding
 from corvina.llm.languages import label_languages, mislabelled
 from corvina.llm.levels import level_profile, reading_levels
 from corvina.llm.mixing import Mix
@@ -14,6 +15,25 @@ from corvina.llm.splitting import split_oversized
 from corvina.sources.tables import read_table
 
 
+#: Undamaged texts from which the classifier of encoding chains is made, at most so many of each field.
+ENCODING_SAMPLE = 3000
+
+
+def _garbled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fields = (("questions", "question_text"), ("question_alternatives", "alternative_text"))
+    tables = [read_table(spark, sf_dir, t).select(F.lit(f"{t}.{c}").alias("ref_field"), "id", F.col(c).alias("text")) for t, c in fields]
+    sample = [text for t in tables for text in encoding.training_sample(t, "id", ["text"], ENCODING_SAMPLE)]
+    return encoding.repair_encoding(tables[0].unionByName(tables[1]), encoding.fit(sample), keep=("ref_field",))
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _garbled(spark, sf_dir).select("ref_field", F.col("id").alias("record_id")).distinct()
+
+
+def p1_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _garbled(spark, sf_dir).distinct()
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_pairs(nearest_vectors(read_table(spark, sf_dir, "question_chunks")))
 
@@ -68,6 +88,8 @@ def p10_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "p1_found": p1_found,
+    "p1_restored": p1_restored,
     "p2_found": p2_found,
     "p6_found": p6_found,
     "p6_profile": p6_profile,
