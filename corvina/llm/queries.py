@@ -11,6 +11,7 @@ from corvina.llm.levels import level_profile, reading_levels
 from corvina.llm.mixing import Mix
 from corvina.llm.neighbours import nearest_vectors, similar_pairs
 from corvina.llm.packing import container_fill, pack_texts
+from corvina.llm.scans import repair_scans
 from corvina.llm.splitting import split_oversized
 from corvina.sources.tables import read_table
 
@@ -38,6 +39,20 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_pairs(nearest_vectors(read_table(spark, sf_dir, "question_chunks")))
 
 
+def _scanned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fields = (("questions", "raw_text"), ("questions", "question_text"), ("dead_letter_questions", "raw_text"))
+    tables = [read_table(spark, sf_dir, t).select(F.lit(f"{t}.{c}").alias("ref_field"), "id", F.col(c).alias("text")) for t, c in fields]
+    return repair_scans(tables[0].unionByName(tables[1]).unionByName(tables[2]), keep=("ref_field",))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scanned(spark, sf_dir).select("ref_field", F.col("id").alias("record_id"))
+
+
+def p3_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scanned(spark, sf_dir)
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     levels = reading_levels(read_table(spark, sf_dir, "questions"))
     return levels.where(F.col("level").isNotNull()).select(F.col("id").alias("question_id"), "level")
@@ -91,6 +106,8 @@ QUERIES = {
     "p1_found": p1_found,
     "p1_restored": p1_restored,
     "p2_found": p2_found,
+    "p3_found": p3_found,
+    "p3_repaired": p3_repaired,
     "p6_found": p6_found,
     "p6_profile": p6_profile,
     "p7_found": p7_found,
