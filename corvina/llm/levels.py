@@ -141,9 +141,11 @@ def _calibrate(text: DataFrame, known, place_of) -> np.ndarray:
                     sums[level] = sums.get(level, np.zeros((size + 1, size + 1))) + np.outer(row, row)
         yield pd.DataFrame([(k, v.ravel().tolist()) for k, v in sums.items()], columns=["level", "s"])
 
-    total = np.zeros((3, size + 1, size + 1))
-    for level, s in text.mapInPandas(summed, "level int, s array<double>").toLocalIterator():
-        total[level] += np.array(s).reshape(size + 1, size + 1)
+    total = np.zeros((3, (size + 1) ** 2))
+    parts = text.mapInPandas(summed, "level int, s array<double>").select("level", F.posexplode("s").alias("i", "x"))
+    for level, i, x in parts.groupBy("level", "i").agg(F.sum("x")).collect():  # three small matrices
+        total[level, i] = x
+    total = total.reshape(3, size + 1, size + 1)
     joint = sum((t / t[size - 1, size - 1] for t in total if t[size - 1, size - 1] > 0), np.zeros((size + 1, size + 1)))
     return np.linalg.solve(joint[:size, :size] + 1e-3 * np.eye(size), joint[:size, size])
 
