@@ -87,21 +87,31 @@ class Model:
     def __init__(self, weights: np.ndarray, trust: np.ndarray) -> None:
         self.weights, self.trust = weights, trust
         self.code = codewords(len(LANGUAGES))
-        self.memo: dict[str, np.ndarray] = {}
-
-    def word(self, word: str) -> np.ndarray:
-        found = self.memo.get(word)
-        if found is None:
-            if len(self.memo) > 300_000:  # bounds a worker's memory; only speed depends on it
-                self.memo.clear()
-            found = self.memo[word] = self.weights[grams(word)].sum(axis=0) / OVERLAP
-        return found
-
-    def margins(self, words: list[str]) -> np.ndarray:
-        if not words:
-            return np.zeros(self.code.shape[1], dtype=np.float32)
-        word = self.memo.get
-        return np.sum([m if (m := word(w)) is not None else self.word(w) for w in words], axis=0)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.place: dict[str, int] = {}
+        self.known = np.zeros((1024, self.code.shape[1]), dtype=np.float32)
+
+    def _learn(self, word: str) -> int:
+        n = self.place[word] = len(self.place)
+        if n == len(self.known):
+            self.known = np.concatenate([self.known, np.zeros_like(self.known)])
+        self.known[n] = self.weights[grams(word)].sum(axis=0) / OVERLAP
+        return n
+
+    def margins(self, parts: list[list[str]]) -> np.ndarray:
+        """Margins of each list of words: the sums over its words, each of which is worked out once per worker."""
+        if len(self.place) > 300_000:  # bounds a worker's memory; only speed depends on it
+            self._forget()
+        place = self.place.get
+        at = [i if (i := place(w)) is not None else self._learn(w) for words in parts for w in words]
+        sizes = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts))
+        out = np.zeros((len(parts), self.code.shape[1]), dtype=np.float32)
+        if at:
+            full = np.flatnonzero(sizes)
+            out[full] = np.add.reduceat(self.known[at], (np.cumsum(sizes) - sizes)[full])
+        return out
 
     def scores(self, margins: np.ndarray) -> np.ndarray:
         """Loss-weighted decoding: minus the logistic losses of each codeword's bits, weighted by the trust in each bit."""
@@ -140,7 +150,7 @@ def fit(texts: Iterable[tuple[str, str]], rounds: int = 3) -> Model:
         model = Model(weights.T.astype(np.float32), trust)
         if not len(units):
             break
-        margins = np.stack([model.margins(words) for words in units])
+        margins = model.margins(units)
         scores = model.scores(margins)
         guess = np.concatenate([_path(scores[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)])
         right = np.array([[((margins[guess == c] * code[c]) > 0)[:, b].mean() if (guess == c).any() else 1.0 for b in range(code.shape[1])] for c in range(len(code))])
@@ -172,7 +182,7 @@ def label_text(text: str | None, model: Model) -> tuple[str | None, float | None
     parts = sentences(text) if text else []
     if not any(words for _, _, words in parts):
         return None, None, None, []
-    scores = model.scores(np.stack([model.margins(words) for _, _, words in parts]))
+    scores = model.scores(model.margins([words for _, _, words in parts]))
     path = _path(scores)
 
     def runs(path: np.ndarray) -> list[list[int]]:
