@@ -60,6 +60,8 @@ GAIN = 3.0
 REPLACED = "�"
 _TOKEN = re.compile(r"[^ \t\r\n]*(?:[^\x00-\x7f]|\?)[^ \t\r\n]*")
 _LOST = re.compile(r"[^\W\d_]\?+[^\W\d_]|^\W*\?+[^\W\d_]|^\?{1,2}$|[^\W\d_]\?{2,}[^\W\d_]")
+#: A word before a question mark after which the sentence goes on: its last letter may be lost.
+_GOES_ON = re.compile(r"[^\W\d_]+\?(?=[ \r\n]+[a-záàâãéêíóôõúç0-9]|[,;])")
 _LINE_END_MARKS = "­‐¬-"
 
 
@@ -243,16 +245,20 @@ class Model:
     def repair(self, text: str) -> tuple[str, int, str | None] | None:
         """Class of the damage, damaged words, restored text (null where a word can't be restored); null if undamaged."""
         leads = [(m, lead) for m in _TOKEN.finditer(text) if (lead := self.suspicious(m.group())) is not None]
-        if not leads:
+        ended = [m for m in _GOES_ON.finditer(text) if m.group().lower() in self.forms] if "?" in text else []
+        if not leads and not ended:
             return None
-        evidence = np.sum([np.maximum(lead, 0) for _, lead in leads], axis=0) / 2
+        evidence = np.sum([np.maximum(lead, 0) for _, lead in leads], axis=0) / 2 if leads else np.zeros(len(CLASSES))
         damaged: dict[int, tuple[re.Match, str, str | None]] = {}
+        for m in ended:
+            found = self.forms[m.group().lower()]
+            damaged[m.start()] = (m, LOST, found.capitalize() if m.group()[0].isupper() else found)
         for strict in (MARGIN, MARGIN / 2):
             seen = {name for _, name, _ in damaged.values()}
             if strict < MARGIN and not seen:
                 break
             for m, lead in leads:
-                if m.start() not in damaged:
+                if not any(m.start() <= at < m.end() for at in damaged):
                     after = _core(text[m.end() : m.end() + 40].lstrip().partition(" ")[0])
                     found = self.restore(m.group(), lead, evidence, strict, seen, after)
                     if found is not None and (strict == MARGIN or found[0] in seen):
