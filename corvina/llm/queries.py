@@ -11,8 +11,9 @@ from corvina.llm.levels import level_profile, reading_levels
 from corvina.llm.mixing import Mix
 from corvina.llm.neighbours import nearest_vectors, similar_pairs
 from corvina.llm.packing import container_fill, pack_texts
-from corvina.llm.scans import repair_scans
+from corvina.llm.scans import fit_model, repair_scans
 from corvina.llm.splitting import split_oversized
+from corvina.llm.survivors import surviving_questions, surviving_records
 from corvina.sources.tables import read_table
 
 
@@ -53,6 +54,21 @@ def p3_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scanned(spark, sf_dir)
 
 
+def _surviving(spark: SparkSession, sf_dir: str) -> DataFrame:
+    questions = read_table(spark, sf_dir, "questions")
+    codes = encoding.fit(encoding.training_sample(questions, "id", ["question_text"], ENCODING_SAMPLE))
+    pages = fit_model(questions.where(F.length("question_text") > 0).select(F.col("question_text").alias("text")))
+    return surviving_questions(questions, codes, pages)
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _surviving(spark, sf_dir).select("content_hash", "text_from", "confidence_from", "images_from")
+
+
+def p5_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surviving_records(read_table(spark, sf_dir, "questions"), _surviving(spark, sf_dir))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     levels = reading_levels(read_table(spark, sf_dir, "questions"))
     return levels.where(F.col("level").isNotNull()).select(F.col("id").alias("question_id"), "level")
@@ -108,6 +124,8 @@ QUERIES = {
     "p2_found": p2_found,
     "p3_found": p3_found,
     "p3_repaired": p3_repaired,
+    "p5_found": p5_found,
+    "p5_records": p5_records,
     "p6_found": p6_found,
     "p6_profile": p6_profile,
     "p7_found": p7_found,
