@@ -73,8 +73,18 @@ def word_grades(counted: DataFrame, total: dict[int, float]) -> DataFrame:
     return by_word.where((F.col("uses") >= LEAST_USES) & F.col("word").rlike(PLAIN_WORD)).select("word", "uses", grade.cast("int").alias("grade"))
 
 
-def text_quantiles(grades: np.ndarray) -> np.ndarray | None:
-    return np.quantile(grades, QUANTILES) if len(grades) else None
+def text_quantiles(grades: list[int]) -> list[float] | None:
+    """Linear quantiles; plain Python, as texts have few words and numpy's call costs more than the work."""
+    if not grades:
+        return None
+    grades = sorted(grades)
+    out = []
+    for q in QUANTILES:
+        at = q * (len(grades) - 1)
+        low = int(at)
+        value = grades[low]
+        out.append(value + (at - low) * (grades[low + 1] - value) if at > low else float(value))
+    return out
 
 
 class Scale:
@@ -83,13 +93,18 @@ class Scale:
     def __init__(self, known: dict[str, int], weights: np.ndarray) -> None:
         self.known, self.weights = known, weights
 
-    def features(self, words: list[str]) -> np.ndarray | None:
+        self._weights = [float(w) for w in weights]
+
+    def features(self, words: list[str]) -> list[float] | None:
         get = self.known.get
-        return text_quantiles(np.array([g for w in words if (g := get(w)) is not None], dtype=float))
+        return text_quantiles([g for w in words if (g := get(w)) is not None])
 
     def place(self, words: list[str]) -> float | None:
         found = self.features(words)
-        return None if found is None else float(np.clip(np.append(found, 1.0) @ self.weights, 0, GRADES - 1e-6))
+        if found is None:
+            return None
+        at = self._weights[-1] + sum(x * w for x, w in zip(found, self._weights, strict=False))
+        return min(max(at, 0.0), GRADES - 1e-6)
 
 
 def _count_words(text: DataFrame, grade_of) -> DataFrame:
@@ -136,7 +151,7 @@ def _calibrate(text: DataFrame, known, place_of) -> np.ndarray:
                 x = scale.features(words)
                 y = place(words) if x is not None else None
                 if y is not None:
-                    row = np.append(np.append(x, 1.0), y + 0.5)
+                    row = np.array([*x, 1.0, y + 0.5])
                     level = min(2, int(y * 3 / GRADES))
                     sums[level] = sums.get(level, np.zeros((size + 1, size + 1))) + np.outer(row, row)
         yield pd.DataFrame([(k, v.ravel().tolist()) for k, v in sums.items()], columns=["level", "s"])
