@@ -134,11 +134,15 @@ def fit(texts: Iterable[tuple[str, str]], rounds: int = 3) -> Model:
     model = Model(np.zeros((BUCKETS, code.shape[1]), np.float32), np.ones_like(code) / code.shape[1])
     for _ in range(rounds):
         share = np.zeros((len(LANGUAGES), BUCKETS))
+        # Every distinct sentence counts once, in the language it has most often; so copies have no more weight.
+        votes: dict[tuple[str, ...], Counter] = {}
+        for words, label in zip(units, labels, strict=True):
+            votes.setdefault(tuple(words), Counter())[int(label)] += 1
         for c in range(len(LANGUAGES)):
-            # Every distinct sentence counts once per language, so texts copied many times have no more weight.
             used: Counter = Counter()
-            for words in {tuple(units[i]) for i in np.flatnonzero(labels == c)}:
-                used.update(words)
+            for words, counted in votes.items():
+                if max(counted, key=lambda x, counted=counted: (counted[x], -x)) == c:
+                    used.update(words)
             for word, n in used.items():
                 if word not in cache:
                     cache[word] = grams(word)
