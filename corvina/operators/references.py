@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corvina.session import cut
+
 #: A key is hot if at least one row in so many has it; hence there are never more hot keys than this number.
 MAX_HOT_KEYS = 200
 
@@ -83,10 +85,10 @@ def find_orphans(
         state = F.lit("missing")
     absent = absent.select("_k", "_n", state.alias("_state"), F.lit(None).cast(c.schema["child_created_at"].dataType).alias("_born"))
     early = keys.join(p, "_k").where(F.col("_first") < F.col("_born")).select("_k", "_n", F.lit("late").alias("_state"), "_born")
-    status = absent.unionByName(early)
-
     least = F.greatest(F.lit(1), F.floor(keys.agg(F.sum("_n")).scalar() / MAX_HOT_KEYS))
-    hot, cold = status.where(F.col("_n") > least), status.where(F.col("_n") <= least)
+    # Written once, as both joins below and, for a compound key, those of the next reference start from it.
+    status = cut(absent.unionByName(early).select("_k", "_state", "_born", (F.col("_n") > least).alias("_hot")))
+    hot, cold = status.where("_hot"), status.where("NOT _hot")
     found = c.join(F.broadcast(hot), "_k").unionByName(c.join(cold, "_k"))
     return (
         found.where((F.col("_state") != "late") | (F.col("_born") > F.col("child_created_at")))
