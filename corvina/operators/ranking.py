@@ -95,6 +95,38 @@ def running_budget(df: DataFrame, order: Sequence[Column], cost: str, budget: fl
     return df.withColumn("spent", F.sum(cost).over(w)).where(F.col("spent") <= budget)
 
 
+# ---------------------------------------------------------------- bounded parts of unbounded tables
+
+
+def most_used(df: DataFrame, n: str, bound: int) -> DataFrame:
+    """Rows of the largest counts ``n`` (positive), at most ``bound`` of them.
+
+    Classes of counts that differ by less than a tenth stay together: those are kept that fit within the bound. Only a
+    histogram of some hundred classes reaches the driver, whereas a sorted limit would send ``bound`` rows of every task.
+    """
+    kind = F.floor(F.log2(F.col(n).cast("double")) * 8)
+    total, least = 0, None
+    for row in sorted(df.groupBy(kind.alias("k")).agg(F.count(F.lit(1)).alias("m")).collect(), key=lambda r: -r.k):
+        if total + row.m > bound:
+            return df.where(F.lit(False)) if least is None else df.where(kind >= least)
+        total, least = total + row.m, row.k
+    return df
+
+
+def bounded_sample(df: DataFrame, id_column: str, bound: int, total: int | None = None) -> DataFrame:
+    """Up to ``bound`` rows by a hash of the id, the same whatever the partitions.
+
+    Tasks first keep the share of hashes that gives half as many rows again as the bound, so a large table sends no
+    more than a small one. ``total`` is the number of rows if it is known.
+    """
+    rows = df.count() if total is None else total
+    span = 1 << 40
+    u = F.pmod(F.xxhash64(F.col(id_column).cast("string")), F.lit(span))
+    share = min(1.0, 1.5 * (bound + 20) / max(1, rows))
+    kept = df.withColumn("_u", u).where(F.col("_u") < int(share * span)) if share < 1 else df.withColumn("_u", u)
+    return kept.orderBy("_u", id_column).limit(bound).drop("_u")
+
+
 # ---------------------------------------------------------------- sinks as state transitions
 
 

@@ -6,11 +6,11 @@ from pathlib import Path
 
 import pytest
 
-from corvina.plans import core_queries, quality_queries, text_queries
+from corvina.plans import core_queries, more_queries, quality_queries, text_queries
 
 DATA = Path("/root/testdata/sf0.001")
-QUERIES = {**quality_queries.QUERIES, **core_queries.QUERIES, **text_queries.QUERIES}
-ORACLE = {**quality_queries.ORACLE, **core_queries.ORACLE, **text_queries.ORACLE}
+QUERIES = {**quality_queries.QUERIES, **core_queries.QUERIES, **text_queries.QUERIES, **more_queries.QUERIES}
+ORACLE = {**quality_queries.ORACLE, **core_queries.ORACLE, **text_queries.ORACLE, **more_queries.ORACLE}
 
 pytestmark = pytest.mark.skipif(not DATA.exists(), reason="no test tables")
 
