@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corvina.operators.ranking import bounded_sample
+
 #: Chains of (encoding written, encoding read) that turn right text into garbled text.
 CHAINS: dict[str, tuple[tuple[str, str], ...]] = {
     "utf8>cp1252": (("utf-8", "cp1252"),),
@@ -316,10 +318,11 @@ def fit(texts: Iterable[str]) -> Model:
 
 def training_sample(df: DataFrame, id_column: str, text_columns: list[str], bound: int) -> list[str]:
     """The texts of up to ``bound`` rows per column, chosen by a hash of the id."""
+    total = df.count()  # of a plain Parquet table this reads footers only
     out: list[str] = []
     for column in text_columns:
-        some = df.where(F.length(column) > 0).select(F.xxhash64(F.col(id_column).cast("string")).alias("h"), F.col(column).alias("t"))
-        out += [r[0] for r in some.orderBy("h", "t").limit(bound).select("t").collect()]
+        some = df.where(F.length(column) > 0).select(F.col(id_column).alias("id"), F.col(column).alias("t"))
+        out += [r[0] for r in bounded_sample(some, "id", bound, total).select("t").collect()]
     return out
 
 

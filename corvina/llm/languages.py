@@ -227,11 +227,17 @@ def label_text(text: str | None, model: Model) -> tuple[str | None, float | None
 
 def training_sample(df: DataFrame, id_column: str, text_column: str, label_column: str, per_label: int) -> list[tuple[str, str]]:
     """Up to ``per_label`` texts per language that a label names, chosen by a hash of the id."""
-    labelled = df.select(
-        F.xxhash64(F.col(id_column).cast("string")).alias("h"), F.col(text_column).alias("t"), label_language(label_column).alias("l")
-    ).where(F.col("l").isNotNull() & (F.length("t") > 0))
-    first = F.row_number().over(Window.partitionBy("l").orderBy("h"))
-    rows = labelled.withColumn("r", first).where(F.col("r") <= per_label).select("t", "l").collect()
+    label = label_language(label_column)
+    counts = {r[0]: r[1] for r in df.groupBy(label.alias("l")).agg(F.count(F.lit(1))).collect() if r[0] is not None}
+    span = 1 << 40
+    # Tasks keep the share of each language that gives twice the bound, so a large table sends no more than a small one.
+    cutoff: Column = F.lit(0)
+    for language, n in counts.items():
+        cutoff = F.when(F.col("l") == language, int(min(1.0, 2 * (per_label + 20) / n) * span)).otherwise(cutoff)
+    hashed = F.pmod(F.xxhash64(F.col(id_column).cast("string")), F.lit(span))
+    labelled = df.select(hashed.alias("h"), F.col(text_column).alias("t"), label.alias("l")).where(F.col("l").isNotNull() & (F.length("t") > 0))
+    first = F.row_number().over(Window.partitionBy("l").orderBy("h", "t"))
+    rows = labelled.where(F.col("h") <= cutoff).withColumn("r", first).where(F.col("r") <= per_label).select("t", "l").collect()
     return sorted((r[0], r[1]) for r in rows)
 
 

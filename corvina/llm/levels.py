@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corvina.operators.ranking import most_used
 from corvina.session import cut
 
 LEVELS = ("basico", "medio", "avancado")
@@ -133,7 +134,7 @@ def _graded(counted: DataFrame) -> dict[str, int]:
     # Written once: the sums by grade and the words' grades both need it, and making it reads all texts.
     counted = cut(counted.groupBy("word", "grade").agg(F.sum("n").alias("n")))
     total = {r[0]: float(r[1]) for r in counted.groupBy("grade").agg(F.sum("n")).collect()}
-    rows = word_grades(counted, total).orderBy(F.desc("uses"), "word").limit(MAX_WORDS).select("word", "grade").collect()
+    rows = most_used(word_grades(counted, total), "uses", MAX_WORDS).select("word", "grade").collect()
     return {r[0]: r[1] for r in rows}
 
 
