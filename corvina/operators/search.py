@@ -125,26 +125,39 @@ def require_rows(df: DataFrame, n: int) -> DataFrame:
 # ---------------------------------------------------------------- near duplicates
 
 
+#: Sets of up to so many words are compared by pairs of rare words, larger ones by single rare words.
+PAIRED_WORDS = 400
+
+
 def word_set_classes(df: DataFrame, id_column: str, text: str, least: float = 0.8) -> DataFrame:
-    """Pairs of different word sets with a Jaccard similarity of at least ``least``, and their members.
+    """Pairs of different word sets with a Jaccard similarity of at least ``least`` (0.5 or more).
 
     Result: id_a, id_b (id_a < id_b, the smallest ids of their word sets), similarity. Texts with equal word sets are
-    one representative. Candidates come from an exact prefix filter: the words of each set are put in order of rarity
-    and two similar sets must share one of the first (1 - least) * size + 1 words; so no pair is lost.
+    one representative (``word_set_members`` has the membership). Candidates come from an exact prefix filter: with the
+    words of each set in order of rarity, two similar sets share at least m of the first (1 - least) * size + m words. Sets
+    meet on pairs of such words (m = 2), which are far rarer than words; above ``PAIRED_WORDS`` words, where there
+    would be many pairs, on single ones. Sets near that bound take part in both, so no pair is lost.
     """
     bag = df.select(F.col(id_column).alias("id"), F.array_sort(F.array_distinct(tokens(text))).alias("words")).where(F.size("words") > 0)
     sets = bag.groupBy("words").agg(F.min("id").alias("id"))
     seen = sets.select(F.explode("words").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("df"))
+    spread = F.col("n") - F.ceil(F.col("n") * least)
     rare = (
         sets.select("id", F.size("words").alias("n"), F.explode("words").alias("w"))
         .join(seen, "w")
         .withColumn("pos", F.row_number().over(Window.partitionBy("id").orderBy("df", "w")))
-        .where(F.col("pos") <= F.col("n") - F.ceil(F.col("n") * least) + 1)
-        .select("w", "id", "n")
+        .where(F.col("pos") <= spread + 2)
+        .groupBy("id", "n")
+        .agg(F.array_sort(F.collect_list(F.struct("pos", "w"))).alias("p"))
     )
-    a, b = rare.select("w", F.col("id").alias("id_a"), F.col("n").alias("n_a")), rare.select("w", F.col("id").alias("id_b"), F.col("n").alias("n_b"))
+    few, many = F.col("n") <= PAIRED_WORDS, F.col("n") > PAIRED_WORDS * least
+    singles = F.transform(F.filter("p", lambda x: x["pos"] <= spread + 1), lambda x: F.xxhash64(x["w"]))
+    doubles = F.flatten(F.transform("p", lambda x: F.transform(F.filter("p", lambda y: y["pos"] > x["pos"]), lambda y: F.xxhash64(F.least(x["w"], y["w"]), F.greatest(x["w"], y["w"])))))
+    none = F.array().cast("array<bigint>")
+    keyed = rare.select("id", "n", F.explode(F.array_distinct(F.concat(F.when(few, doubles).otherwise(none), F.when(many, singles).otherwise(none)))).alias("k"))
+    a, b = keyed.select("k", F.col("id").alias("id_a"), F.col("n").alias("n_a")), keyed.select("k", F.col("id").alias("id_b"), F.col("n").alias("n_b"))
     near_size = (F.col("n_a") >= least * F.col("n_b")) & (F.col("n_b") >= least * F.col("n_a"))
-    pairs = a.join(b, "w").where((F.col("id_a") < F.col("id_b")) & near_size).select("id_a", "id_b").distinct()
+    pairs = a.join(b, "k").where((F.col("id_a") < F.col("id_b")) & near_size).select("id_a", "id_b").distinct()
     words = sets.select("id", "words")
     full = pairs.join(words.withColumnsRenamed({"id": "id_a", "words": "words_a"}), "id_a").join(words.withColumnsRenamed({"id": "id_b", "words": "words_b"}), "id_b")
     shared = F.size(F.array_intersect("words_a", "words_b"))

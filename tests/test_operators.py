@@ -83,7 +83,9 @@ def test_text_search(spark):
     assert [r.id for r in search.text_top_k(df, "id", "t", ["agua", "energia"], 5).collect()] == [4, 1]
 
 
-def test_word_sets(spark):
+@pytest.mark.parametrize("paired", [400, 8, 1])
+def test_word_sets(spark, monkeypatch, paired):
+    monkeypatch.setattr(search, "PAIRED_WORDS", paired)
     rng = random.Random(5)
     words = [f"w{i}" for i in range(30)]
     texts = [(i, " ".join(rng.sample(words, rng.randint(3, 12)))) for i in range(120)]
