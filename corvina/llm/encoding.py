@@ -64,7 +64,7 @@ _TOKEN = re.compile(r"[^ \t\r\n]*(?:[^\x00-\x7f]|\?)[^ \t\r\n]*")
 _LOST = re.compile(r"[^\W\d_]\?+[^\W\d_]|^\W*\?+[^\W\d_]|^\?{1,2}$|[^\W\d_]\?{2,}[^\W\d_]")
 #: A word before a question mark after which the sentence goes on: its last letter may be lost.
 _GOES_ON = re.compile(r"[^\W\d_]+\?(?=[ \r\n]+[a-záàâãéêíóôõúç0-9]|[,;])")
-_LINE_END_MARKS = "­‐¬-"
+_LINE_END_MARKS = "­‐¬-…"
 
 
 @lru_cache(maxsize=32)
@@ -152,7 +152,7 @@ def looks_clean(text: str) -> bool:
 
 
 def _bare(token: str) -> str:
-    """Without marks of a word divided at a line end, which are no part of the word."""
+    """Without marks of a word that is divided at a line end or cut off, which are no part of the word."""
     return token.rstrip(_LINE_END_MARKS) or token
 
 
