@@ -35,20 +35,23 @@ def first_of(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> Dat
     return ranked.where("_r = 1").drop("_r")
 
 
+def falling(df: DataFrame, column: str) -> Column:
+    """An expression that is larger for smaller values of an integer or string column, for use inside a maximum."""
+    c = F.col(column)
+    if df.schema[column].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint"):
+        return -c
+    # Hex digits mapped to their complements, ended by a sign above all of them.
+    return F.concat(F.translate(F.hex(c.cast("string")), "0123456789ABCDEF", "FEDCBA9876543210"), F.lit("~"))
+
+
 def canonical_rows(df: DataFrame, group: str, score: str, id_column: str) -> DataFrame:
-    """Each row with the id of its group's canonical row: highest score (null last), then smallest id."""
-    best = df.groupBy(group).agg(
-        F.max(score).alias("_top"),  # nulls are ignored: null only where there is no score
-        F.count(F.lit(1)).alias("group_size"),
-    )
-    # The least id among the best is a second small aggregate; no window gathers a large group.
-    tops = (
-        df.join(best.select(group, "_top"), group)
-        .where(F.col(score).eqNullSafe(F.col("_top")))
-        .groupBy(group)
-        .agg(F.min(id_column).alias("canonical_id"))
-    )
-    return df.join(tops, group).join(best.select(group, "group_size"), group).select(id_column, group, "canonical_id", "group_size")
+    """Each row with the id of its group's canonical row: highest score (null last), then smallest id.
+
+    The canonical row is a maximum, so tasks combine their rows first and no window gathers a large group.
+    """
+    order = F.struct(F.col(score).isNotNull().alias("known"), F.col(score).alias("score"), falling(df, id_column).alias("last"))
+    best = df.groupBy(group).agg(F.max_by(id_column, order).alias("canonical_id"), F.count(F.lit(1)).alias("group_size"))
+    return df.join(best, group).select(id_column, group, "canonical_id", "group_size")
 
 
 def gaps(numbers: DataFrame, keys: Sequence[str], number: str, low: int, high: int) -> DataFrame:

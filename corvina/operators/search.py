@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corvina.functions.text import tokens
+from corvina.operators.ranking import falling
 
 #: The constant of reciprocal rank fusion.
 RRF_K = 60
@@ -39,20 +40,11 @@ def vector_top_k(df: DataFrame, id_column: str, vector: str, query: Sequence[flo
     if least is not None:
         scored = scored.where(F.col("similarity") >= least)
     if one_per is not None:
-        best = scored.groupBy(one_per).agg(F.max_by(F.struct(*scored.columns), F.struct("similarity", F.struct(_falling(scored, id_column)))).alias("_x"))
+        best = scored.groupBy(one_per).agg(F.max_by(F.struct(*scored.columns), F.struct("similarity", falling(scored, id_column))).alias("_x"))
         scored = best.select("_x.*")
     return scored.orderBy(F.desc("similarity"), id_column).limit(k)
 
 
-def _falling(df: DataFrame, id_column: str) -> Column:
-    """An expression that is larger for smaller ids, for use inside a maximum."""
-    c = F.col(id_column)
-    if df.schema[id_column].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint"):
-        return -c
-    # Hex digits mapped to their complements, ended by a sign above all of them.
-    return F.concat(F.translate(F.hex(c.cast("string")), "0123456789ABCDEF", "FEDCBA9876543210"), F.lit("~"))
-
-
 def text_scores(df: DataFrame, text: str, terms: Sequence[str]) -> DataFrame:
     """Rows that hold every term, with ``text_score``: uses of the terms per 1 + ln(1 + number of terms in the row), at most 1.
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from corvina.functions import cleaning
 from corvina.functions import text as T
 from corvina.operators import embedding, ranking
 from corvina.plans.core_queries import ORACLE, QUERIES, query, records
@@ -127,3 +128,33 @@ def shared_tokens(spark, sf):
     chunks = read_table(spark, sf, "question_chunks").select("id", "question_id", "chunk_type", "token_count").dropDuplicates(["id"])
     used = embedding.share_tokens(chunks.where("question_id IS NOT NULL AND token_count IS NOT NULL"), "token_count", "question_id")
     return used.select("chunk_type", "id", F.col("tokens_used").cast("long").alias("tokens_used"))
+
+
+# ---------------------------------------------------------------- clean-up chains and estimates
+
+
+@query()
+def cleaned_questions(spark, sf):
+    return records(spark, sf, "dead_letter_questions").select("id", cleaning.clean_question("raw_text").alias("text"), cleaning.estimated_number("raw_text").alias("number"))
+
+
+@query()
+def cleaned_options(spark, sf):
+    return records(spark, sf, "question_alternatives").select("id", cleaning.clean_option("alternative_text").alias("text"))
+
+
+@query(
+    """SELECT q.id, CASE WHEN e.day = 1 AND question_number BETWEEN 46 AND 90 THEN 'ciencias_humanas' WHEN e.day = 2 AND question_number BETWEEN 91 AND 135 THEN 'ciencias_natureza'
+         WHEN e.day = 2 AND question_number BETWEEN 136 AND 180 THEN 'matematica' ELSE 'linguagens' END AS area,
+       CASE WHEN e.pages_count > 0 THEN greatest(1, greatest(1, least(e.pages_count, question_number // 2)) - 1) || '-' || least(e.pages_count, greatest(1, least(e.pages_count, question_number // 2)) + 1) ELSE '1-5' END AS pages
+       FROM (SELECT DISTINCT id, question_number, exam_metadata_id FROM questions) q JOIN (SELECT DISTINCT * FROM exam_metadata) e ON e.id = q.exam_metadata_id"""
+)
+def areas_and_pages(spark, sf):
+    exams = records(spark, sf, "exam_metadata").select(F.col("id").alias("exam_metadata_id"), "day", "pages_count")
+    q = records(spark, sf, "questions").select("id", "question_number", "exam_metadata_id").join(exams, "exam_metadata_id")
+    return q.select("id", cleaning.area_of("question_number", "day").alias("area"), cleaning.page_range("question_number", "pages_count").alias("pages"))
+
+
+@query("SELECT id, 'Questão ' || question_number || ' (' || coalesce(subject, '') || '): ' || question_text AS prompt FROM (SELECT DISTINCT id, question_number, subject, question_text FROM questions)")
+def prompts(spark, sf):
+    return records(spark, sf, "questions").select("id", cleaning.prompt("Questão %s (%s): %s", "question_number", "subject", "question_text").alias("prompt"))
