@@ -96,7 +96,7 @@ def nearest_vectors(
     min_similarity: float = 0.92,
     dims: int = 64,
     curves: int = 4,
-    window: int = 384,
+    window: int = 1024,
     partitions: int | None = None,
 ) -> DataFrame:
     """Up to ``k`` other usable vectors of highest cosine similarity, at least ``min_similarity``, for each usable one.
