@@ -271,7 +271,9 @@ class Model:
         if any(word is None for _, _, word in damaged.values()):
             return name, len(damaged), None
         out, at = [], 0
-        for _, (m, _, word) in sorted(damaged.items()):
+        for _, (m, name_of, word) in sorted(damaged.items()):
+            if name_of == LOST and len(_core(m.group()).strip("?�")) == 0 and re.search(r"(?:^|[.!?:]|\n)\s*[\"“«—]?\s*$", text[: m.start()]):
+                word = word.upper()  # a lone letter that begins a sentence
             out += [text[at : m.start()], word]
             at = m.end()
         return name, len(damaged), "".join(out) + text[at:]
@@ -288,7 +290,7 @@ def fit(texts: Iterable[str]) -> Model:
             tokens.update(_bare(t) for t in words)
             spread.update({t for t in words if not t.isascii()})
             for one, two in zip(words, words[1:], strict=False):
-                if len(c := _core(one)) == 1 and not c.isascii():
+                if len(c := _core(one)) == 1 and c in LETTERS:
                     pairs.setdefault(_core(two), Counter())[c] += 1
     counts = np.zeros((len(CLASSES), BUCKETS))
     forms: dict[str, str] = {}
