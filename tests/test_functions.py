@@ -117,6 +117,11 @@ def test_options(spark, text, expected):
     assert one(spark, text, parsing.extract_options).options == expected
 
 
+def test_simple_options(spark):
+    assert one(spark, "x\nA) um\n- **B)** dois\n(C) três\nA) outra\nD)\n", parsing.simple_options) == {"A": "um", "B": "dois", "C": "três"}
+    assert one(spark, None, parsing.simple_options) == {}
+
+
 def test_cascade(spark):
     nested = ["opção A opção B opção C", "opção B opção C", "opção C"]
     assert one(spark, nested, parsing.is_cascade, "array<string>") is True

@@ -26,6 +26,9 @@ def test_reports(spark, tmp_path):
     assert "&lt;T&gt;" in out.read_text()
     with pytest.raises(ValueError, match="more than"):
         sinks.write_report(spark.range(sinks.MAX_REPORT_ROWS + 1), str(out))
+    sinks.replace_table(df, str(tmp_path / "t"))
+    sinks.replace_table(df.limit(1), str(tmp_path / "t"))
+    assert spark.read.parquet(str(tmp_path / "t")).count() == 1
     sinks.dump_tables({"x": df}, str(tmp_path / "d"), "json")
     assert spark.read.json(str(tmp_path / "d/x")).count() == 2
 
