@@ -6,6 +6,7 @@ import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import product
 
 import numpy as np
 import pandas as pd
@@ -125,7 +126,11 @@ def buckets(token: str) -> np.ndarray:
 #: Characters that cannot be seen; cleaning steps often drop them from garbled text.
 _UNSEEN = "\xad\xa0" + "".join(map(chr, range(0x80, 0xA0)))
 _UNSEEN_TABLE = {ord(c): None for c in _UNSEEN}
-_GAP = re.compile(r"[ÃÂ](?=[A-Za-z]|\W*$)")
+#: Of these the second characters of Portuguese letters, capitals before small ones.
+_SECOND = "\x80\x81\x82\x83\x87\x89\x8a\x8d\x93\x94\x95\x9a\x9c\xad\xa0"
+_GAP = re.compile(r"[ÃÂ](?=[A-Za-zÃÂ]|\W*$)")
+# An unseen blank after this letter that has become an ordinary one.
+_BLANK = re.compile(r"(?<!\S)Ã (?= |s\b)")
 
 
 def _core(token: str) -> str:
@@ -198,12 +203,14 @@ class Model:
             right = invert(form, chain)
             if fine(right, form):
                 return right + token[len(form) :]
-        m = _GAP.search(bare)
-        if m and CHAINS[chain][0][0] == "utf-8":  # an unseen character may have been dropped after this one
-            for c in _UNSEEN:
-                form = bare[: m.end()] + c + bare[m.end() :]
+        gaps = [m.end() for m in _GAP.finditer(bare)]
+        if 0 < len(gaps) <= 3 and CHAINS[chain][0][0] == "utf-8":  # unseen characters may have been dropped there
+            for fill in product(_SECOND, repeat=len(gaps)):
+                form = bare
+                for at, c in sorted(zip(gaps, fill, strict=True), reverse=True):
+                    form = form[:at] + c + form[at:]
                 right = invert(form, chain)
-                if fine(right, form) and _core(right) in self.known:
+                if fine(right, form) and _core(right) in self.known and right[1:] in (right[1:].lower(), right[1:].upper()):
                     return right + token[len(bare) :]
         return None
 
@@ -246,6 +253,8 @@ class Model:
 
     def repair(self, text: str) -> tuple[str, int, str | None] | None:
         """Class of the damage, damaged words, restored text (null where a word can't be restored); null if undamaged."""
+        if "Ã " in text:
+            text = _BLANK.sub("Ã\xa0", text)
         leads = [(m, lead) for m in _TOKEN.finditer(text) if (lead := self.suspicious(m.group())) is not None]
         ended = [m for m in _GOES_ON.finditer(text) if m.group().lower() in self.forms] if "?" in text else []
         if not leads and not ended:

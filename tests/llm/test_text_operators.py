@@ -58,6 +58,8 @@ def test_lost_letters(codes):
 def test_dropped_invisible_characters(codes):
     wrong = encoding.garble("famílias", "utf8>cp1252").replace("\xad", "")
     assert codes.repair(f"as {wrong} estÃ£o")[2] == "as famílias estão"
+    bare = encoding.garble("Às vezes não há exceção à regra.", "utf8>latin1")
+    assert codes.repair("".join(c for c in bare if not "\x80" <= c < "\xa0").replace("\xa0", " "))[2] == "Às vezes não há exceção à regra."
 
 
 def test_encoding_frame(spark, codes):
