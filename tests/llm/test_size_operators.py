@@ -245,3 +245,20 @@ def test_recall_and_copies(spark):
     pairs = neighbours.similar_pairs(neighbours.nearest_vectors(df, window=200))
     assert pairs.where("id_a >= id_b").count() == 0
     assert neighbours.nearest_vectors(df.limit(0)).count() == 0
+
+
+def test_crowd_beyond_every_window(spark):
+    """A third of the rows is one topic, far larger than a window: all of it is compared, and what is beside it."""
+    rng = np.random.default_rng(5)
+    noise = lambda n, size: size / 8 * rng.standard_normal((n, 64))
+    centre = rng.standard_normal(64) / 8
+    x = np.concatenate([centre + noise(3000, 0.2), centre + noise(1000, 0.45), rng.standard_normal((5000, 64))]).astype(np.float32)
+    ids = [f"v{i:05d}" for i in range(len(x))]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, x, strict=True)], "id string, embedding array<float>")
+    got: dict = {}
+    for r in neighbours.nearest_vectors(df, window=64).collect():
+        got.setdefault(r.id, set()).add(r.neighbour)
+    want = brute(ids, x.astype(np.float64), 5, 0.92)
+    for part in (ids[:3000], ids):
+        found = sum(len(set(want[i]) & got.get(i, set())) for i in part)
+        assert found >= 0.99 * sum(len(want[i]) for i in part)
