@@ -6,7 +6,6 @@ import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import product
 
 import numpy as np
 import pandas as pd
@@ -14,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvina.operators.ranking import bounded_sample
+from corvina.session import cut
 
 #: Chains of (encoding written, encoding read) that turn right text into garbled text.
 CHAINS: dict[str, tuple[tuple[str, str], ...]] = {
@@ -59,6 +59,8 @@ BUCKETS = 1 << 14
 MARGIN = 4.0
 #: What restoring must add to the log-likelihood of an undamaged word.
 GAIN = 3.0
+#: A word seen in several texts is damaged all the same if the restored word is so many times as frequent.
+RATIO = 15
 
 REPLACED = "�"
 _TOKEN = re.compile(r"[^ \t\r\n]*(?:[^\x00-\x7f]|\?)[^ \t\r\n]*")
@@ -126,22 +128,33 @@ def buckets(token: str) -> np.ndarray:
 #: Characters that cannot be seen; cleaning steps often drop them from garbled text.
 _UNSEEN = "\xad\xa0" + "".join(map(chr, range(0x80, 0xA0)))
 _UNSEEN_TABLE = {ord(c): None for c in _UNSEEN}
-#: Of these the second characters of Portuguese letters, capitals before small ones.
-_SECOND = "\x80\x81\x82\x83\x87\x89\x8a\x8d\x93\x94\x95\x9a\x9c\xad\xa0"
 _GAP = re.compile(r"[ÃÂ](?=[A-Za-zÃÂ]|\W*$)")
 # An unseen blank after this letter that has become an ordinary one.
 _BLANK = re.compile(r"(?<!\S)Ã (?= |s\b)")
 
 
+_BEYOND = re.compile(r"[^\x00-\x7f]")
+_RUN = re.compile(r"[^\x00-\x7f]+")
+
+
 def _core(token: str) -> str:
     return re.sub(r"^\W+|\W+$", "", token).lower()
 
 
+def _bones(token: str) -> str:
+    """What is left of a word, garbled or not, without characters beyond ASCII: equal for a word and its garbled forms."""
+    return re.sub(r"^\W+|\W+$", "", _RUN.sub("?", token.lower()))
+
+
+def _plain(core: str) -> str:
+    """A word with question marks for its letters beyond ASCII."""
+    return "".join(c if c < "\x80" else "?" for c in core)
+
+
 def looks_clean(text: str) -> bool:
     """Whether a text may serve as an example of undamaged text: its signs are known and stand where they should."""
-    for i, c in enumerate(text):
-        if c < "\x80":
-            continue
+    for m in _BEYOND.finditer(text):
+        i, c = m.start(), m.group()
         before, after = text[i - 1 : i], text[i + 1 : i + 2]
         if c in LETTERS:
             if c.isupper() and before.islower():
@@ -156,6 +169,20 @@ def looks_clean(text: str) -> bool:
     return True
 
 
+def _outside(marks: str, chain: str) -> str | None:
+    """The marks beside a word before the chain; of one beyond ASCII unseen characters may have been dropped."""
+    right = marks if marks.isascii() else invert(marks, chain)
+    if right is None and (m := _RUN.search(marks)):
+        signs = (c for c in SIGNS if (wrong := garble(c, chain)) and wrong.translate(_UNSEEN_TABLE) == m.group())
+        right = (c := next(signs, None)) and marks[: m.start()] + c + marks[m.end() :]
+    return right
+
+
+def _after(text: str, end: int) -> str:
+    """The word after a place."""
+    return _core(text[end : end + 40].lstrip().partition(" ")[0])
+
+
 def _bare(token: str) -> str:
     """Without marks of a word that is divided at a line end or cut off, which are no part of the word."""
     return token.rstrip(_LINE_END_MARKS) or token
@@ -165,12 +192,17 @@ class Model:
     """Multinomial classifier on hashed byte bigrams: log-likelihoods of each bucket in each class.
 
     ``forms`` maps a word whose letters beyond ASCII are question marks to its most frequent form, ``follows`` the
-    word after a lone letter to that letter; ``usual`` are words seen in several undamaged texts.
+    word after a lone letter to that letter; ``usual`` are words seen in several undamaged texts. ``words`` has the known
+    words of the same ``_bones``. Of a large table these hold what one text asks for (``asks``), as ``answered`` sets them.
     """
 
     def __init__(self, table: np.ndarray, forms: dict[str, str], follows: dict[str, str], usual: set[str]) -> None:
         self.table, self.forms, self.follows, self.usual = table, forms, follows, usual
         self.known = set(forms.values()) | {c for t in usual if (c := _core(t))}
+        self.words: dict[str, list[str]] = {}
+        for word in sorted(self.known):
+            self.words.setdefault(_bones(word), []).append(word)
+        self.uses: dict[str, int] = {}  # of usual (texts) and known words, by their keys; empty for a sample
         self.memo: dict[str, np.ndarray | None] = {}
 
     def likelihoods(self, token: str) -> np.ndarray:
@@ -203,17 +235,64 @@ class Model:
             right = invert(form, chain)
             if fine(right, form):
                 return right + token[len(form) :]
-        gaps = [m.end() for m in _GAP.finditer(bare)]
-        if 0 < len(gaps) <= 3 and CHAINS[chain][0][0] == "utf-8":  # unseen characters may have been dropped there
-            for fill in product(_SECOND, repeat=len(gaps)):
-                form = bare
-                for at, c in sorted(zip(gaps, fill, strict=True), reverse=True):
-                    form = form[:at] + c + form[at:]
-                right = invert(form, chain)
-                if fine(right, form) and _core(right) in self.known and right[1:] in (right[1:].lower(), right[1:].upper()):
-                    return right + token[len(bare) :]
+        if _GAP.search(bare) and CHAINS[chain][0][0] == "utf-8":  # unseen characters may have been dropped there
+            seen = bare.translate(_UNSEEN_TABLE)
+            for word in self.words.get(_bones(bare), ()):
+                for right in dict.fromkeys((word[:1].upper() + word[1:], word, word.upper())):  # capitals lose more second characters
+                    wrong = garble(right, chain)
+                    wrong = wrong and wrong.translate(_UNSEEN_TABLE)
+                    if not wrong or wrong == right or (at := seen.find(wrong)) < 0:
+                        continue
+                    ends = [_outside(x, chain) for x in (seen[:at], seen[at + len(wrong) :])]
+                    if None not in ends and _core(whole := right.join(ends)) == word and fine(whole, bare):
+                        # A mark at the end may be the last character of a garbled one.
+                        return whole if whole[-1] in _LINE_END_MARKS and whole[-1] == token[-1] else whole + token[len(bare) :]
         return None
 
+    def asks(self, text: str) -> set[str]:
+        """What ``repair`` of this text may look up, each with a letter for the table; empty if it is surely undamaged."""
+        if "Ã " in text:
+            text = _BLANK.sub("Ã\xa0", text)
+        out = {"f" + m.group().lower() for m in _GOES_ON.finditer(text)} if "?" in text else set()
+        for m in _TOKEN.finditer(text):
+            token = m.group()
+            lead = self.suspicious(token)
+            if lead is None:
+                continue
+            bare = _bare(token)
+            if REPLACED in bare or _LOST.search(bare):
+                form = self._form(bare)[1]
+                out.add("s" + _after(text, m.end()) if form == "?" else "f" + form)
+            out.add("u" + token)
+            if REPLACED in bare:
+                continue
+            if _GAP.search(bare):
+                out.add("g" + _bones(bare))
+            for k in np.flatnonzero(lead > MARGIN / 2):
+                if CLASSES[k] in CHAINS and (right := self._undo(token, CLASSES[k])) is not None:
+                    out.add("k" + _core(right))
+        return out
+
+    def answered(self, found: Iterable[tuple[str, str]]) -> Model:
+        """Has the answers (key with its letter, value) as all it knows."""
+        self.forms, self.follows, self.usual, self.known, self.words, self.uses = {}, {}, set(), set(), {}, {}
+        for key, value in sorted(found):
+            if key[0] in "uk":
+                self.uses[key] = int(value)
+            kind, key = key[0], key[1:]
+            if kind == "f":
+                self.forms[key] = value
+            elif kind == "s":
+                self.follows[key] = value
+            elif kind == "u":
+                self.usual.add(key)
+            elif kind == "k":
+                self.known.add(key)
+            else:
+                self.known.add(value)
+                self.words.setdefault(key, []).append(value)
+        return self
+
     def restore(self, token: str, lead: np.ndarray, evidence: np.ndarray, strict: float, seen: set[str], after: str) -> tuple[str, str | None] | None:
         """(class, restored word or null) of a damaged word; null if it is undamaged.
 
@@ -232,25 +311,36 @@ class Model:
                 if _LOST.search(bare) and "://" not in bare:
                     return LOST, self._fill(bare, token[len(bare) :], after)
                 continue
-            if name not in seen and token in self.usual:
+            usual = token in self.usual
+            if name not in seen and usual and not self.uses:
                 continue
             right = self._undo(token, name)
             if right is None or self.likelihoods(_bare(right))[0] < base + GAIN:
                 continue
             known = _core(right) in self.known
-            if CHAINS[name][0][0] == "utf-8" or known and token not in self.usual or name in seen and (known or token not in self.usual):
+            written = CHAINS[name][0][0]
+            if usual and (written == "utf-8" or len(_core(right)) > 3):  # short words are each other's garbled forms in one-byte encodings
+                usual = self.uses.get("k" + _core(right), 0) < RATIO * self.uses.get("u" + token, 1)
+            if usual and name not in seen:
+                continue
+            if written == "utf-8" or known and not usual or name in seen and (known or not usual):
                 return name, right
         return None
 
     def _fill(self, bare: str, tail: str, after: str) -> str | None:
         """The most frequent known word that fits between the lost letters; a lone letter goes by the word after it."""
-        lead, core, end = re.match(r"^([^\w?�]*)(.*?)([^\w?�]*)$", bare, re.S).groups()
-        form = core.replace(REPLACED, "?").lower()
+        (lead, core, end), form = self._form(bare)
         found = self.follows.get(after) if form == "?" else self.forms.get(form)
         if found is None:
             return None
         return lead + (found.capitalize() if core[:1].isupper() else found) + end + tail
 
+    @staticmethod
+    def _form(bare: str) -> tuple[tuple[str, str, str], str]:
+        """A word with what is around it, and how it is looked up."""
+        parts = re.match(r"^([^\w?�]*)(.*?)([^\w?�]*)$", bare, re.S).groups()
+        return parts, parts[1].replace(REPLACED, "?").lower()
+
     def repair(self, text: str) -> tuple[str, int, str | None] | None:
         """Class of the damage, damaged words, restored text (null where a word can't be restored); null if undamaged."""
         if "Ã " in text:
@@ -270,8 +360,7 @@ class Model:
                 break
             for m, lead in leads:
                 if not any(m.start() <= at < m.end() for at in damaged):
-                    after = _core(text[m.end() : m.end() + 40].lstrip().partition(" ")[0])
-                    found = self.restore(m.group(), lead, evidence, strict, seen, after)
+                    found = self.restore(m.group(), lead, evidence, strict, seen, _after(text, m.end()))
                     if found is not None and (strict == MARGIN or found[0] in seen):
                         damaged[m.start()] = (m, *found)
         if not damaged:
@@ -321,12 +410,65 @@ def fit(texts: Iterable[str]) -> Model:
             np.add.at(counts[1], buckets("".join(c if c < "\x80" else REPLACED for c in token)), n)
         core = _core(token)
         if core and not core.isascii():
-            forms.setdefault("".join(c if c < "\x80" else "?" for c in core), core)
+            forms.setdefault(_plain(core), core)
     table = np.log((counts + 0.02) / (counts.sum(axis=1, keepdims=True) + 0.02 * BUCKETS))
     follows = {word: c.most_common(1)[0][0] for word, c in pairs.items()}
     return Model(table, forms, follows, {t for t, n in spread.items() if n > 1})
 
 
+def vocabulary(texts: DataFrame) -> DataFrame:
+    """What ``Model.asks`` may ask, counted over a column ``text`` of all records: key with the letter of its table, value.
+
+    Only undamaged texts count. Tasks sum their own texts first; nothing is cut, and nothing reaches the driver.
+    """
+
+    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counts: Counter = Counter()
+        cores: dict[str, str] = {}
+
+        def rows() -> pd.DataFrame:
+            return pd.DataFrame([(*key, n) for key, n in counts.items()], columns=["kind", "a", "b", "n"])
+
+        for batch in batches:
+            for text in batch["text"]:
+                if text.isascii() or not looks_clean(text):
+                    continue
+                words = text.split()
+                at = [i for i, t in enumerate(words) if not t.isascii()]
+                for i in at:
+                    core = cores.get(words[i])
+                    if core is None:
+                        core = cores[words[i]] = _core(_bare(words[i]))
+                    if not core.isascii():
+                        counts["f", core, ""] += 1
+                    if len(core) == 1 and core in LETTERS and i + 1 < len(words):
+                        counts["s", _core(words[i + 1]), core] += 1
+                counts.update(("u", t, "") for t in {words[i] for i in at})
+            if len(counts) + len(cores) > 400_000:  # a task's memory stays bounded; the rest is summed later
+                yield rows()
+                counts.clear()
+                cores.clear()
+        yield rows()
+
+    total = cut(texts.mapInPandas(counted, "kind string, a string, b string, n long").groupBy("kind", "a", "b").agg(F.sum("n").alias("n")))
+    kind = lambda k: total.where(F.col("kind") == k)
+    core = F.lower(F.regexp_replace("a", r"(?U)^\W+|\W+$", ""))
+    bones = F.regexp_replace(F.regexp_replace(F.lower("a"), r"[^\x00-\x7f]+", "?"), r"^\W+|\W+$", "")
+    key = lambda k, c: F.concat(F.lit(k), c).alias("key")
+    uses = F.coalesce("n", F.lit(0)).cast("string").alias("value")
+    forms = kind("f").groupBy(F.regexp_replace("a", r"[^\x00-\x7f]", "?").alias("p")).agg(F.min_by("a", F.struct(-F.col("n"), "a")).alias("a"))
+    usual = kind("u").where("n > 1")
+    known = forms.select("a").unionByName(usual.select(core.alias("a"))).where("a != ''").distinct().join(kind("f").select("a", "n"), "a", "left")
+    follows = kind("s").groupBy("a").agg(F.min_by("b", F.struct(-F.col("n"), "b")).alias("value"))
+    return (
+        forms.select(key("f", F.col("p")), F.col("a").alias("value"))
+        .unionByName(follows.select(key("s", F.col("a")), "value"))
+        .unionByName(usual.select(key("u", F.col("a")), uses))
+        .unionByName(known.select(key("k", F.col("a")), uses))
+        .unionByName(known.select(key("g", bones), F.col("a").alias("value")))
+    )
+
+
 def training_sample(df: DataFrame, id_column: str, text_columns: list[str], bound: int) -> list[str]:
     """The texts of up to ``bound`` rows per column, chosen by a hash of the id."""
     total = df.count()  # of a plain Parquet table this reads footers only
@@ -337,7 +479,9 @@ def training_sample(df: DataFrame, id_column: str, text_columns: list[str], boun
     return out
 
 
-def repair_encoding(df: DataFrame, model: Model, id_column: str = "id", text_column: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+def repair_encoding(
+    df: DataFrame, model: Model, id_column: str = "id", text_column: str = "text", keep: tuple[str, ...] = (), words: DataFrame | None = None
+) -> DataFrame:
     """The garbled texts of ``df``, each with what happened to it.
 
     Result, one row per garbled row: the columns ``keep``, id, chain (of CHAINS, or 'lost' where letters became
@@ -345,7 +489,8 @@ def repair_encoding(df: DataFrame, model: Model, id_column: str = "id", text_col
 
     Every word beyond ASCII, or with a question mark inside, is classified; the likeliest chain is inverted and
     counts only if every step decodes strictly to known letters that read better than before. Words undamaged
-    elsewhere in the same text stay as they are. There is no shuffle.
+    elsewhere in the same text stay as they are. There is no shuffle without ``words``, the ``vocabulary`` of all texts: texts with
+    suspicious words are then written once and meet what they ask for in a join, in place of what the model knows of its sample.
 
     Edge cases: null and empty texts are no case; correct capitals, quotation marks and symbols are no case; equal
     texts get equal results; rows delivered twice appear twice; extra columns are ignored.
@@ -354,12 +499,36 @@ def repair_encoding(df: DataFrame, model: Model, id_column: str = "id", text_col
     shared = df.sparkSession.sparkContext.broadcast((model.table.astype(np.float32), model.forms, model.follows, model.usual))
     narrow = df.select(*keep, F.col(id_column).alias("id"), F.col(text_column).alias("_text")).where(F.col("_text").rlike(r"[^\x00-\x7f]|\?"))
 
+    head = "".join(f"{c} {df.schema[c].dataType.simpleString()}, " for c in keep)
+    result = f"{head}id {key_type}, chain string, n_damaged int, restored string"
+
     def repaired(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = Model(*shared.value)
         for batch in batches:
-            found = [(i, *r) for i, t in enumerate(batch["_text"]) if (r := model.repair(t)) is not None]
-            rows = batch.iloc[[f[0] for f in found]].drop(columns="_text").reset_index(drop=True)
+            answers = batch["_answers"] if "_answers" in batch else None
+            found = []
+            for i, t in enumerate(batch["_text"]):
+                if answers is not None:
+                    model.answered([] if answers[i] is None else [(x["key"], x["value"]) for x in answers[i]])
+                if (r := model.repair(t)) is not None:
+                    found.append((i, *r))
+            rows = batch.iloc[[f[0] for f in found]].drop(columns=["_text", "_answers"], errors="ignore").reset_index(drop=True)
             yield pd.concat([rows, pd.DataFrame([f[1:] for f in found], columns=["chain", "n_damaged", "restored"])], axis=1)
 
-    head = "".join(f"{c} {df.schema[c].dataType.simpleString()}, " for c in keep)
-    return narrow.mapInPandas(repaired, f"{head}id {key_type}, chain string, n_damaged int, restored string")
+    if words is None:
+        return narrow.mapInPandas(repaired, result)
+    bare = df.sparkSession.sparkContext.broadcast(model.table.astype(np.float32))
+
+    def asking(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = Model(bare.value, {}, {}, set())
+        for batch in batches:
+            keys = [list(model.asks(t)) for t in batch["_text"]]
+            at = [i for i, k in enumerate(keys) if k]
+            yield batch.iloc[at].assign(_keys=pd.Series([keys[i] for i in at], batch.index[at], object))
+
+    asked = cut(narrow.mapInPandas(asking, f"{head}id {key_type}, _text string, _keys array<string>").withColumn("_h", F.md5("_text")))
+
+    keys = asked.select("_h", F.explode("_keys").alias("key")).distinct()
+    by_text = keys.join(words, "key").groupBy("_h").agg(F.collect_list(F.struct("key", "value")).alias("_answers"))
+    met = asked.drop("_keys").join(by_text, "_h", "left").drop("_h")
+    return met.mapInPandas(repaired, result)

@@ -17,7 +17,7 @@ from corvina.llm.survivors import surviving_questions, surviving_records
 from corvina.sources.tables import read_table
 
 
-#: Undamaged texts from which the classifier of encoding chains is made, at most so many of each field.
+#: Undamaged texts from which the classifier's table of byte bigrams is made, at most so many of each field; words are counted over all.
 ENCODING_SAMPLE = 3000
 
 
@@ -25,7 +25,9 @@ def _garbled(spark: SparkSession, sf_dir: str) -> DataFrame:
     fields = (("questions", "question_text"), ("question_alternatives", "alternative_text"))
     tables = [read_table(spark, sf_dir, t).select(F.lit(f"{t}.{c}").alias("ref_field"), "id", F.col(c).alias("text")) for t, c in fields]
     sample = [text for t in tables for text in encoding.training_sample(t, "id", ["text"], ENCODING_SAMPLE)]
-    return encoding.repair_encoding(tables[0].unionByName(tables[1]), encoding.fit(sample), keep=("ref_field",))
+    texts = tables[0].unionByName(tables[1])
+    words = encoding.vocabulary(texts.where(F.length("text") > 0).select("text"))
+    return encoding.repair_encoding(texts, encoding.fit(sample), keep=("ref_field",), words=words)
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,7 +60,8 @@ def _surviving(spark: SparkSession, sf_dir: str) -> DataFrame:
     questions = read_table(spark, sf_dir, "questions")
     codes = encoding.fit(encoding.training_sample(questions, "id", ["question_text"], ENCODING_SAMPLE))
     pages = fit_model(questions.where(F.length("question_text") > 0).select(F.col("question_text").alias("text")))
-    return surviving_questions(questions, codes, pages)
+    words = encoding.vocabulary(questions.where(F.length("question_text") > 0).select(F.col("question_text").alias("text")))
+    return surviving_questions(questions, codes, pages, words)
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:

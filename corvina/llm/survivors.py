@@ -52,37 +52,50 @@ def survivors(df: DataFrame, key: str, id_column: str, fields: dict[str, Sequenc
     )
 
 
-def text_condition(df: DataFrame, codes: encoding.Model, pages: scans.Model, text_column: str, keep: Sequence[str]) -> DataFrame:
+def text_condition(
+    df: DataFrame, codes: encoding.Model, pages: scans.Model, text_column: str, keep: Sequence[str], words: DataFrame | None = None
+) -> DataFrame:
     """``keep``, undamaged (neither garbled, nor with scan noise, nor empty, cut off or a placeholder), full_length.
 
+    With ``words``, the ``encoding.vocabulary`` of all texts, garbled ones are found by it in place of what ``codes`` knows.
     ``full_length`` counts characters with white space squeezed, so of several undamaged wordings the longest is the full one.
     """
     shared = df.sparkSession.sparkContext.broadcast(
         ((codes.table.astype("float32"), codes.forms, codes.follows, codes.usual), (pages.words, pages.usual, (pages.keys, pages.counts), pages.lines))
     )
 
+    apart = words is not None
+
     def judged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         codes, pages = encoding.Model(*shared.value[0]), scans.Model(*shared.value[1])
         for batch in batches:
             good, lengths = [], []
             for t in batch["_text"]:
-                fine = bool(t) and not _PLACEHOLDER.fullmatch(t) and not _CUT.search(t) and codes.repair(t) is None and not any(scans.read_lines(t, pages)[1:])
+                fine = bool(t) and not _PLACEHOLDER.fullmatch(t) and not _CUT.search(t) and (apart or codes.repair(t) is None) and not any(scans.read_lines(t, pages)[1:])
                 good.append(fine and bool(t.strip()))
                 lengths.append(len(" ".join(t.split())) if t else 0)
             yield batch.drop(columns="_text").assign(undamaged=good, full_length=lengths)
 
     head = "".join(f"{c} {df.schema[c].dataType.simpleString()}, " for c in keep)
-    return df.select(*keep, F.col(text_column).alias("_text")).mapInPandas(judged, f"{head}undamaged boolean, full_length int")
-
-
-def surviving_questions(questions: DataFrame, codes: encoding.Model, pages: scans.Model) -> DataFrame:
+    texts = df.select(*keep, F.col(text_column).alias("_text"))
+    if not apart:
+        return texts.mapInPandas(judged, f"{head}undamaged boolean, full_length int")
+    # Equal texts are garbled alike, so a digest stands for the text where the two meet.
+    hashed = texts.withColumn("_h", F.md5("_text"))
+    garbled = encoding.repair_encoding(hashed, codes, "_h", "_text", words=words).select(F.col("id").alias("_h")).distinct().withColumn("_garbled", F.lit(True))
+    rows = hashed.mapInPandas(judged, f"{head}_h string, undamaged boolean, full_length int")
+    met = rows.join(garbled, "_h", "left")
+    return met.select(*keep, (F.col("undamaged") & F.col("_garbled").isNull()).alias("undamaged"), "full_length")
+
+
+def surviving_questions(questions: DataFrame, codes: encoding.Model, pages: scans.Model, words: DataFrame | None = None) -> DataFrame:
     """content_hash, text_from, confidence_from, images_from, n_rows of each group of questions with equal content_hash.
 
     Text: undamaged, full, then highest parsing_confidence, latest updated_at. Confidence: highest, then latest.
     Images: known, then latest. Ties: smallest id.
     """
     keep = ["id", "content_hash", "parsing_confidence", "has_images", "updated_at"]
-    judged = text_condition(questions.where(F.col("content_hash").isNotNull()), codes, pages, "question_text", keep)
+    judged = text_condition(questions.where(F.col("content_hash").isNotNull()), codes, pages, "question_text", keep, words)
     trust, late = F.col("parsing_confidence"), F.col("updated_at")
     return survivors(
         judged,

@@ -71,6 +71,19 @@ def test_encoding_frame(spark, codes):
     assert encoding.repair_encoding(df.withColumn("k", F.lit("x")), codes, keep=("k",)).first().k == "x"
 
 
+def test_words_outside_the_sample(spark):
+    """Words are known from all texts, not from the sample that fits the table: one damaged word is found and restored."""
+    codes = encoding.fit(SENTENCES * 5)
+    rows = [(str(i), t) for i, t in enumerate(["O príncipe dança à noite, diz Zoé.", "Um príncipe é um príncipe."] * 3)]
+    rows += [("one", "Era uma vez um " + encoding.garble("príncipe", "cp1252>cp850")), ("lost", "Era uma vez um pr�ncipe"), ("capital", "LÃ¡,"), ("other", "LÃ¡,")]
+    rows += [(f"n{i}", "Lá, o avô não vê.") for i in range(60)]
+    df = spark.createDataFrame(rows, "id string, text string")
+    words = encoding.vocabulary(df.select("text"))
+    got = {r.id: r.restored for r in encoding.repair_encoding(df, codes, words=words).collect()}
+    assert got == {"one": "Era uma vez um príncipe", "lost": "Era uma vez um príncipe", "capital": "Lá,", "other": "Lá,"}
+    assert encoding.repair_encoding(df.limit(0), codes, words=words).count() == 0
+
+
 # ---------------------------------------------------------------- scans
 
 PROSE = "O governo anunciou uma nova medida para o setor de energia elétrica. A população das cidades pequenas depende da chuva."
