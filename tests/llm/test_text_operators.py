@@ -71,6 +71,13 @@ def test_encoding_frame(spark, codes):
     assert encoding.repair_encoding(df.withColumn("k", F.lit("x")), codes, keep=("k",)).first().k == "x"
 
 
+def test_many_dropped_characters_in_a_word():
+    codes = encoding.fit([*SENTENCES * 5, "INFORMAÇÕES", "Leia as informações."])
+    bare = "".join(c for c in encoding.garble("INFORMAÇÕES", "utf8>latin1>latin1") if not "\x80" <= c < "\xa0")
+    assert bare == "INFORMAÃÂÃÂES"
+    assert codes.repair(f"LEIA AS {bare} ABAIXO")[2] == "LEIA AS INFORMAÇÕES ABAIXO"
+
+
 def test_words_outside_the_sample(spark):
     """Words are known from all texts, not from the sample that fits the table: one damaged word is found and restored."""
     codes = encoding.fit(SENTENCES * 5)
