@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from zlib import crc32
 
 import numpy as np
@@ -27,7 +27,7 @@ ODD = "0159!|@~,$ﬁﬂ"
 # Small words of running headers and page numbers.
 PAGE_WORDS = {"dia", "p", "pp", "pag", "pg", "pgina", "pagina", "fl", "fls", "folha", "caderno", "cad", "prova", "versão", "v"}
 
-#: The words and word pairs used most are known, so many of each; this bounds what is broadcast.
+#: The words and word pairs used most are broadcast, so many of each; of others the counts are joined to the texts that need them.
 MAX_WORDS, MAX_PAIRS = 200_000, 500_000
 #: A form is misread if the usual form of its skeleton is at least so many times as frequent, and used so often.
 RATIO, LEAST_USES = 15, 8
@@ -167,6 +167,7 @@ class Model:
         #: Words that are the usual form of their skeleton, or nearly as frequent, are never looked at.
         self.safe = {w for w, n in words.items() if (u := usual.get(skeleton(w))) is None or u == w or words[u] < RATIO * n}
         self.safe |= {"#", ""}
+        self.more: DataFrame | None = None  # all counts (key with a letter for the table, value) if a table here is cut
         self.memo: dict[str, str | None] = {}
         self.fine: set[str] = set()  # pieces between blanks that need no look
 
@@ -216,6 +217,101 @@ class Model:
         return n > 2 and (n >= JOINED * self.words.get(one, 1) or n >= JOINED * self.words.get(two, 1))
 
 
+class _Table:
+    """A bounded table; what is not in it is asked for."""
+
+    def __init__(self, known: dict[str, int] | dict[str, str] | set[str], kind: str, ask) -> None:
+        self.known, self.kind, self.ask = known, kind, ask
+
+    def get(self, key: str, default=None):
+        found = (self.known.get(key) if isinstance(self.known, dict) else key in self.known or None) if key else None
+        if found is None and key:
+            found = self.ask(self.kind + key)
+        return default if found is None else found
+
+    def __contains__(self, key: str) -> bool:
+        return self.get(key) is not None
+
+    def __getitem__(self, key: str):
+        return self.get(key, 0)
+
+
+class Asking(Model):
+    """A model whose tables are cut: for one text at a time, with the answers so far (null: not there), ``asked`` has what is missing."""
+
+    def __init__(self, words: dict[str, int], usual: dict[str, str], pairs: tuple[np.ndarray, np.ndarray], lines: set[str]) -> None:
+        super().__init__(words, usual, pairs, lines)
+        self.words, self.usual, self.lines = _Table(words, "w", self._ask), _Table(usual, "k", self._ask), _Table(lines, "l", self._ask)
+
+    def begin(self, answers: Iterable | None) -> None:
+        # What was found for the words of another text may rest on its answers.
+        self.memo, self.fine, self.asked = {}, set(), set()
+        self.answers = {x["key"]: x["value"] for x in answers} if answers is not None else {}
+
+    def _ask(self, key: str) -> int | str | None:
+        if key not in self.answers:
+            self.asked.add(key)
+            return None
+        found = self.answers[key]
+        return int(found) if found is not None and key[0] in "wp" else found
+
+    def pair(self, one: str, two: str) -> int:
+        return super().pair(one, two) or self._ask(f"p{one}\x1f{two}") or 0
+
+
+def answered(texts: DataFrame, model: Model) -> DataFrame:
+    """All that reading each distinct ``text`` looks up and the bounded tables lack: _h (its digest), _answers.
+
+    Texts are read with the answers so far and ask for what is missing, which is joined with the full counts; an answer may
+    lead to another question, so this goes on until no text asks.
+    """
+    shared = texts.sparkSession.sparkContext.broadcast((model.words, model.usual, (model.keys, model.counts), model.lines))
+    kind = "array<struct<key:string,value:string>>"
+
+    def asking(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = Asking(*shared.value)
+        for batch in batches:
+            keys = []
+            for text, answers in zip(batch["text"], batch["_answers"], strict=True):
+                model.begin(answers)
+                read_lines(text, model)
+                keys.append(list(model.asked))
+            yield batch[["_h", "text"]].assign(_keys=pd.Series(keys, batch.index, object))
+
+    def ask(state: DataFrame) -> DataFrame:
+        return cut(state.select("_h", "text", "_answers").mapInPandas(asking, "_h string, text string, _keys array<string>").where(F.size("_keys") > 0))
+
+    digest = F.md5("text").alias("_h")
+    state = texts.select(digest, "text").dropDuplicates(["_h"]).withColumn("_answers", F.lit(None).cast(kind))
+    done = None
+    while not (open_ := ask(state)).isEmpty():
+        keys = open_.select("_h", F.explode("_keys").alias("key"))
+        new = keys.join(model.more, "key", "left").groupBy("_h").agg(F.collect_list(F.struct("key", "value")).alias("_answers"))
+        done = cut(new if done is None else done.unionByName(new).groupBy("_h").agg(F.flatten(F.collect_list("_answers")).alias("_answers")))
+        state = open_.select("_h", "text").join(done, "_h")
+    return done if done is not None else state.select("_h", "_answers").limit(0)
+
+
+def with_answers(df: DataFrame, model: Model, text_column: str) -> DataFrame:
+    """``df`` with the column ``_answers``, null where the model's tables are whole or have all that the text needs."""
+    if model.more is None:
+        return df.withColumn("_answers", F.lit(None).cast("array<struct<key:string,value:string>>"))
+    found = answered(df.where(F.length(text_column) > 0).select(F.col(text_column).alias("text")), model)
+    return df.withColumn("_h", F.md5(text_column)).join(found, "_h", "left").drop("_h")
+
+
+def reader(tables: tuple, whole: bool):
+    """A function of a text and its answers that gives what ``read_lines`` does."""
+    model = Model(*tables) if whole else Asking(*tables)
+
+    def read(text: str, answers: Iterable | None) -> tuple[list[dict], int, int, int]:
+        if not whole:
+            model.begin(answers)
+        return read_lines(text, model)
+
+    return read
+
+
 def _first(line: str) -> str:
     words = words_of(line[:60])
     return words[0] if words else ""
@@ -364,7 +460,32 @@ def fit_model(texts: DataFrame) -> Model:
     keys = np.array([pair_key(r[0], r[1]) for r in pairs], dtype=np.int64)
     order = np.argsort(keys)
     counts = np.array([r[2] for r in pairs], dtype=np.int64)
-    return Model(words, usual, (keys[order], counts[order]), lines)
+    model = Model(words, usual, (keys[order], counts[order]), lines)
+    there = {r.kind: r.m for r in total.where("kind = 'w' OR kind = 'p' AND n > 2 OR kind = 'l' AND n >= " + str(LEAST_LINES)).groupBy("kind").agg(F.count(F.lit(1)).alias("m")).collect()}
+    if (len(words), len(pairs), len(lines)) != tuple(there.get(k, 0) for k in "wpl"):
+        model.more = _all_counts(total)
+    return model
+
+
+def _all_counts(total: DataFrame) -> DataFrame:
+    """All that a text may ask for: counts of words and pairs, header lines, and the usual form of each skeleton."""
+
+    def shaped(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            fit = [any(c.isalpha() for c in w) and not any(c in ODD for c in w) for w in batch["a"]]
+            some = batch[np.array(fit, bool)]
+            yield pd.DataFrame({"s": [skeleton(w) for w in some["a"]], "a": some["a"].tolist(), "n": some["n"].tolist()}, columns=["s", "a", "n"])
+
+    kind = lambda k, least: total.where((F.col("kind") == k) & (F.col("n") >= least))
+    key = lambda k, *c: F.concat(F.lit(k), *c).alias("key")
+    n = F.col("n").cast("string").alias("value")
+    usual = kind("w", 1).select("a", "n").mapInPandas(shaped, "s string, a string, n long").groupBy("s").agg(F.min_by("a", F.struct(-F.col("n"), "a")).alias("value"))
+    return (
+        kind("w", 1).select(key("w", "a"), n)
+        .unionByName(kind("p", 3).select(key("p", "a", F.lit("\x1f"), "b"), n))
+        .unionByName(kind("l", LEAST_LINES).select(key("l", "a"), n))
+        .unionByName(usual.select(key("k", "s"), "value"))
+    )
 
 
 #: Lines travel to the windows as one string: a letter for the kind, one for how the line ends, and the text.
@@ -382,17 +503,19 @@ def find_damage(df: DataFrame, model: Model, id_column: str = "id", text_column:
     key_type = df.schema[id_column].dataType.simpleString()
     shared = df.sparkSession.sparkContext.broadcast((model.words, model.usual, (model.keys, model.counts), model.lines))
     narrow = df.select(*keep, F.col(id_column).alias("id"), F.col(text_column).alias("_text")).where(F.length("_text") > 0)
+    whole = model.more is None
+    narrow = with_answers(narrow, model, "_text")
 
     def found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = Model(*shared.value)
+        read = reader(shared.value, whole)
         for batch in batches:
             rows, at = [], []
-            for i, text in enumerate(batch["_text"]):
-                lines, divided, misread, headers = read_lines(text, model)
+            for i, (text, answers) in enumerate(zip(batch["_text"], batch["_answers"], strict=True)):
+                lines, divided, misread, headers = read(text, answers)
                 if divided or misread or headers:
                     at.append(i)
                     rows.append((divided, misread, headers, pack_lines(lines)))
-            head = batch.iloc[at].drop(columns="_text").reset_index(drop=True)
+            head = batch.iloc[at].drop(columns=["_text", "_answers"]).reset_index(drop=True)
             yield pd.concat([head, pd.DataFrame(rows, columns=["n_divided", "n_misread", "n_headers", "lines"])], axis=1)
 
     head = "".join(f"{c} {df.schema[c].dataType.simpleString()}, " for c in keep)

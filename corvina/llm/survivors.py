@@ -64,26 +64,26 @@ def text_condition(
         ((codes.table.astype("float32"), codes.forms, codes.follows, codes.usual), (pages.words, pages.usual, (pages.keys, pages.counts), pages.lines))
     )
 
-    apart = words is not None
+    apart, whole = words is not None, pages.more is None
 
     def judged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        codes, pages = encoding.Model(*shared.value[0]), scans.Model(*shared.value[1])
+        codes, read = encoding.Model(*shared.value[0]), scans.reader(shared.value[1], whole)
         for batch in batches:
             good, lengths = [], []
-            for t in batch["_text"]:
-                fine = bool(t) and not _PLACEHOLDER.fullmatch(t) and not _CUT.search(t) and (apart or codes.repair(t) is None) and not any(scans.read_lines(t, pages)[1:])
+            for t, answers in zip(batch["_text"], batch["_answers"], strict=True):
+                fine = bool(t) and not _PLACEHOLDER.fullmatch(t) and not _CUT.search(t) and (apart or codes.repair(t) is None) and not any(read(t, answers)[1:])
                 good.append(fine and bool(t.strip()))
                 lengths.append(len(" ".join(t.split())) if t else 0)
-            yield batch.drop(columns="_text").assign(undamaged=good, full_length=lengths)
+            yield batch.drop(columns=["_text", "_answers"]).assign(undamaged=good, full_length=lengths)
 
     head = "".join(f"{c} {df.schema[c].dataType.simpleString()}, " for c in keep)
     texts = df.select(*keep, F.col(text_column).alias("_text"))
     if not apart:
-        return texts.mapInPandas(judged, f"{head}undamaged boolean, full_length int")
+        return scans.with_answers(texts, pages, "_text").mapInPandas(judged, f"{head}undamaged boolean, full_length int")
     # Equal texts are garbled alike, so a digest stands for the text where the two meet.
     hashed = texts.withColumn("_h", F.md5("_text"))
     garbled = encoding.repair_encoding(hashed, codes, "_h", "_text", words=words).select(F.col("id").alias("_h")).distinct().withColumn("_garbled", F.lit(True))
-    rows = hashed.mapInPandas(judged, f"{head}_h string, undamaged boolean, full_length int")
+    rows = scans.with_answers(texts, pages, "_text").withColumn("_h", F.md5("_text")).mapInPandas(judged, f"{head}_h string, undamaged boolean, full_length int")
     met = rows.join(garbled, "_h", "left")
     return met.select(*keep, (F.col("undamaged") & F.col("_garbled").isNull()).alias("undamaged"), "full_length")
 

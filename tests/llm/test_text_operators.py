@@ -262,3 +262,17 @@ def test_survivors(spark, codes, pages):
 def test_smallest_id_of_any_length(spark):
     df = spark.createDataFrame([("ab", "g"), ("a", "g"), ("b", "g"), ("ábc", "g")], "id string, k string")
     assert survivors.survivors(df, "k", "id", {"x": [F.lit(1)]}).first().x_from == "a"
+
+
+def test_words_behind_the_bounds(spark, monkeypatch):
+    """Bounded tables are a fast path only: with tables far too small the same damage is found."""
+    rare = ["o modernismo nasceu", "a coluna clara caiu"]
+    rows = [(f"a{i}", f"{PROSE} {rare[i % 2]} hoje.\nGRANDE PROVA FINAL 12\nfim do texto aqui") for i in range(40)]
+    rows += [("m", "vimos que o modemismo nasceu tarde"), ("n", "vimos a coluna elara caiu tarde"), ("h", "um texto\nGRANDE PROVA FINAL 7\nde duas linhas"), ("j", "o moder\nnismo nasceu"), ("g", "o nada")]
+    df = spark.createDataFrame(rows, "id string, text string")
+    read = lambda: {r.id: (r.n_divided, r.n_misread, r.n_headers, r.repaired) for r in scans.repair_scans(df).collect()}
+    whole = read()
+    assert {"m", "n", "h"} <= set(whole) and whole["m"][3] == "vimos que o modernismo nasceu tarde"
+    monkeypatch.setattr(scans, "MAX_WORDS", 4)
+    monkeypatch.setattr(scans, "MAX_PAIRS", 4)
+    assert read() == whole
