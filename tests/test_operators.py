@@ -146,3 +146,14 @@ def test_binary_files(spark, tmp_path):
     (tmp_path / "b.pdf").write_bytes(b"<html>")
     got = {r.file_name: r.is_pdf for r in read_documents_dir(spark, str(tmp_path)).collect()}
     assert got == {"a.pdf": True, "b.pdf": False}
+
+
+def test_windows_over_several_batches(spark, tmp_path):
+    """Each window has one row with all its events, also those that come batches later."""
+    path = str(tmp_path / "events.parquet")
+    for i in range(9):  # files in falling time, so most rows are late
+        rows = [(f"2024-01-01 {9 - i:02d}:{m:02d}:00", "ab"[m % 2]) for m in (1, 20, 40)] + [("2024-01-01 12:30:00", "a")]
+        spark.createDataFrame(rows, "ts string, event_type string").coalesce(1).write.mode("append").parquet(path)
+    got = ingest.windowed_counts(spark, path)
+    want = spark.read.parquet(path).groupBy(F.date_trunc("hour", F.col("ts").cast("timestamp")).alias("start"), "event_type").count()
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
