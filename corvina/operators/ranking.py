@@ -40,7 +40,12 @@ def falling(df: DataFrame, column: str) -> Column:
     c = F.col(column)
     if df.schema[column].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint"):
         return -c
-    # Hex digits mapped to their complements, ended by a sign above all of them.
+    return smallest_last(c)
+
+
+def smallest_last(c: Column) -> Column:
+    """A string that is the larger the smaller the (string) value is, for use inside a maximum: its hex digits mapped to their
+    complements, ended by a sign above all of them."""
     return F.concat(F.translate(F.hex(c.cast("string")), "0123456789ABCDEF", "FEDCBA9876543210"), F.lit("~"))
 
 
