@@ -11,7 +11,7 @@ from corvina.llm.levels import level_profile, reading_levels
 from corvina.llm.mixing import Mix
 from corvina.llm.neighbours import nearest_vectors, similar_pairs
 from corvina.llm.packing import container_fill, pack_texts
-from corvina.llm.scans import fit_model, repair_scans
+from corvina.llm.scans import learn, repair_scans
 from corvina.llm.splitting import split_oversized
 from corvina.llm.survivors import surviving_questions, surviving_records
 from corvina.sources.tables import read_table
@@ -59,9 +59,8 @@ def p3_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _surviving(spark: SparkSession, sf_dir: str) -> DataFrame:
     questions = read_table(spark, sf_dir, "questions")
     codes = encoding.fit(encoding.training_sample(questions, "id", ["question_text"], ENCODING_SAMPLE))
-    pages = fit_model(questions.where(F.length("question_text") > 0).select(F.col("question_text").alias("text")))
-    words = encoding.vocabulary(questions.where(F.length("question_text") > 0).select(F.col("question_text").alias("text")))
-    return surviving_questions(questions, codes, pages, words)
+    texts = questions.where(F.length("question_text") > 0).select(F.col("question_text").alias("text"))
+    return surviving_questions(questions, codes, encoding.vocabulary(texts), learn(texts))
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,28 +9,32 @@ from zlib import crc32
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from corvina.operators.ranking import most_used
+from corvina.operators.ranking import smallest_last
+from corvina.operators.skew import meet
 from corvina.session import cut
 
 # Glyphs that recognition takes for one another. Wide letters are spelt as the pairs they are taken
 # for, so that both readings have one skeleton.
 WIDE = [("m", "rn"), ("d", "cl"), ("u", "ii"), ("h", "li"), ("ç", "c,"), ("ã", "a~"), ("õ", "o~"), ("ﬁ", "fi"), ("ﬂ", "fl")]
-ALIKE = str.maketrans({"0": "o", "@": "a", "5": "s", "$": "s", "!": "i", "1": "l", "|": "l", "9": "g"})
-MERGED = str.maketrans({"c": "e", "f": "t"})
+ALIKE = {ord(k): v for k, v in {"0": "o", "@": "a", "5": "s", "$": "s", "!": "i", "1": "l", "|": "l", "9": "g"}.items()}
+MERGED = {ord("c"): "e", ord("f"): "t"}
 #: Signs that stand for letters only in misread words.
 ODD = "0159!|@~,$ﬁﬂ"
 
 # Small words of running headers and page numbers.
 PAGE_WORDS = {"dia", "p", "pp", "pag", "pg", "pgina", "pagina", "fl", "fls", "folha", "caderno", "cad", "prova", "versão", "v"}
 
-#: The words and word pairs used most are broadcast, so many of each; of others the counts are joined to the texts that need them.
-MAX_WORDS, MAX_PAIRS = 200_000, 500_000
+#: Bits of the filter that is broadcast, whatever the size of the vocabulary. It only tells which words, pairs and lines need a
+#: look; what passes it by chance is found out in the join with the facts.
+FILTER_BITS = 1 << 24
 #: A form is misread if the usual form of its skeleton is at least so many times as frequent, and used so often.
 RATIO, LEAST_USES = 15, 8
+#: Words are spread over so many groups where they meet their pairs.
+SALTS = 16
 #: A header's line, its digits masked, must stand in so many places.
 LEAST_LINES = 3
 #: A line goes on from the one before if the pair of words over the break has at least this share of the uses of either word.
@@ -40,12 +44,11 @@ JOINED = 0.2
 COMPOUND = "guarda|bem|bem-te|pós|pré|ex|vice|recém|beija|couve|arco|segunda|terça|quarta|quinta|sexta"
 
 _EDGES = ".,;:?!…\"'“”‘’«»()[]{}—–-‐¬­*_/"
-_DIVIDED = re.compile(r"[^\W\d_][-‐¬­][ \t\r]*$")
 _HEADING = re.compile(r"(?i)^\s*(?:\*\*)?quest[ãa]o\s*\d+")
 _OPTION = re.compile(r"^\s*\(?[A-E]\)\s")
 _ROMAN = re.compile(r"^(?=[ivxlc]{2,}$|[vx]$)c{0,3}(?:xc|xl|l?x{0,3})(?:ix|iv|v?i{0,3})$")
+_STRANGE = re.compile(r"[^\w" + re.escape(ODD + "-'’") + "]")
 _LETTER_WORD = re.compile(r"[^\W\d_ªº]+")
-_BROKEN = re.compile(r"[^\W\d_][-‐¬­][ \t\r]*\n")
 # A small word within a line that only prose has; such lines are no headers.
 _PROSE = re.compile(r"(?<!\S)(?!dia\s|caderno\s|folha\s|prova\s)[a-záàâãéêíóôõúç]{2,}[,;]?\s+\w|^\s*$")
 
@@ -92,6 +95,12 @@ def mask(line: str) -> str:
     return re.sub(r"\d+", "#", " ".join(squash(line).split()))
 
 
+def divided_at(line: str) -> str:
+    """The letter and the mark of division at the end of a line, or nothing."""
+    end = line.rstrip(" \t\r")[-2:]
+    return end if len(end) == 2 and end[1] in "-‐¬\xad" and end[0].isalpha() else ""
+
+
 def header_shape(line: str) -> int:
     """2: surely page furniture by its form, 1: perhaps, 0: not. Only lines that are frequent can be headers."""
     if len(line) > 120 or _PROSE.search(line):
@@ -121,19 +130,35 @@ def header_shape(line: str) -> int:
     return 1 if len(words) > 1 and all(w.isupper() for w in words) and not re.search(r"[.!?] ", text) else 0
 
 
-def header_at_end(line: str, lines: set[str]) -> int:
-    """How many of the last words of a line of text are a known header of two words or more; 0 if none."""
-    end = line.rstrip()[-1:]
-    if end in ".,;:!?" or end in "-‐¬\xad":
-        return 0
+def may_end_in_header(line: str) -> bool:
+    """A quick look at the last word of a line."""
+    last = line.rpartition(" ")[2]
+    return not last or last[-1] not in ".,;:!?" and (last[-1].isdigit() or last[0].isupper() or last[0] == "*" or last[-1].isspace())
+
+
+def header_ends(line: str) -> Iterator[tuple[int, str]]:
+    """The last words of a line of text that may be a header of two words or more: how many, and masked; the longest first."""
+    last = line.rsplit(None, 1)[-1:]
+    if not last or last[0][-1] in ".,;:!?-‐¬\xad" or not (last[0][-1].isdigit() or last[0][0].isupper() or last[0][0] == "*"):
+        return
     words = line.split()
-    if len(words) < 3 or not (end.isdigit() or words[-1][:1].isupper() or words[-1][:1] == "*"):
-        return 0
+    if len(words) < 3:
+        return
     for k in range(min(14, len(words) - 1), 0, -1):
         m = mask(" ".join(words[-k:]))
-        if m in lines and sum(c.isalpha() for c in m) > 2 and (" " in m or not m[0].isalnum() and not m[-1].isalnum()):
-            return k
-    return 0
+        if sum(map(str.isalpha, m)) > 2 and (" " in m or not m[0].isalnum() and not m[-1].isalnum()):
+            yield k, m
+
+
+def without_end(line: str, words: int) -> str:
+    """A line without its last words."""
+    return re.match(rf"(?s).*?(?=(?:\s+\S+){{{words}}}\s*$)", line).group()
+
+
+def joined_word(line: str, following: str) -> str:
+    """The last piece of a line and the first one of the next, as a word."""
+    tail, head = re.search(r"(\S*?)[-‐¬­]?\s*$", line.rstrip()), re.match(r"\S*", following.lstrip())
+    return (tail.group(1) + head.group()).lower().strip(_EDGES)
 
 
 class Counts:
@@ -158,158 +183,126 @@ class Counts:
         return pd.DataFrame(rows, columns=["kind", "a", "b", "n"])
 
 
-class Model:
-    """Counts of known words, pairs and header lines, and the usual form of each skeleton."""
-
-    def __init__(self, words: dict[str, int], usual: dict[str, str], pairs: tuple[np.ndarray, np.ndarray], lines: set[str]) -> None:
-        self.words, self.usual, self.lines = words, usual, lines
-        self.keys, self.counts = pairs
-        #: Words that are the usual form of their skeleton, or nearly as frequent, are never looked at.
-        self.safe = {w for w, n in words.items() if (u := usual.get(skeleton(w))) is None or u == w or words[u] < RATIO * n}
-        self.safe |= {"#", ""}
-        self.more: DataFrame | None = None  # all counts (key with a letter for the table, value) if a table here is cut
-        self.memo: dict[str, str | None] = {}
-        self.fine: set[str] = set()  # pieces between blanks that need no look
-
-    def all_fine(self, text: str) -> bool:
-        """Whether every word is safe."""
-        left = set(text.lower().split()) - self.fine
-        if not left:
-            return True
-        if len(self.fine) > 400_000:  # bounds a worker's memory; only speed depends on it
-            self.fine.clear()
-        good = {p for p in left if _plain[p] in self.safe or self.right_form(_plain[p]) is None}
-        self.fine |= good
-        return len(good) == len(left)
-
-    def pair(self, one: str, two: str) -> int:
-        key = pair_key(one, two)
-        i = int(np.searchsorted(self.keys, key))
-        return int(self.counts[i]) if i < len(self.keys) and self.keys[i] == key else 0
-
-    def right_form(self, word: str) -> str | None:
-        """The usual form of a word that may be misread."""
-        if word in self.memo:
-            return self.memo[word]
-        if len(self.memo) > 200_000:  # bounds a worker's memory; only speed depends on it
-            self.memo.clear()
-        found = None
-        if any(c.isalpha() for c in word) and not re.search(r"[^\w" + re.escape(ODD + "-'’") + "]", word):
-            usual = self.usual.get(skeleton(word))
-            least = 2 if any(c in ODD for c in word) else 3
-            if usual is not None and usual != word and len(usual) >= least and self.words[usual] >= max(LEAST_USES, RATIO * self.words.get(word, 0)):
-                found = usual
-        self.memo[word] = found
-        return found
+class Known:
+    """What reading one text looks up, by keys with a letter for the table.
+
+    r: the right form of a misread word; b, a: pairs of a misread word of letters alone with the word before or after it, of which
+    the right form supports; l: header lines; w, p: uses of words and pairs; k: the usual form of a skeleton and its uses.
+    """
+
+    def __init__(self, found: Iterable | None) -> None:
+        self.found = {x["key"]: x["value"] for x in found} if found is not None else {}
+        self.misread_words = {k[1:] for k in self.found if k[0] == "r"}
+        self.lines = {k[1:] for k in self.found if k[0] == "l"}
+
+    def uses(self, word: str) -> int:
+        return int(self.found.get("w" + word, 0))
 
     def misread(self, before: str, word: str, after: str) -> str | None:
         """The right form of a misread word, or null. Letters alone need support from a word beside it."""
-        right = self.right_form(word)
-        if right is None:
-            return None
-        if any(c in ODD for c in word) and any(c.isalpha() for c in word):
+        right = self.found.get("r" + word)
+        if right is None or is_odd(word) or "b" + pair(before, word) in self.found or "a" + pair(word, after) in self.found:
             return right
-        return right if self.pair(before, right) > 2 or self.pair(right, after) > 2 else None
+        return None
+
+    def joined(self, word: str) -> str | None:
+        """The right form of a word put together from two pieces, whether it is used elsewhere or not."""
+        usual, _, n = self.found.get("k" + skeleton(word), "").partition(_SEP)
+        return usual if n and usual != word and may_be_misread(word) and len(usual) >= least_length(word) and int(n) >= max(LEAST_USES, RATIO * self.uses(word)) else None
 
     def continues(self, one: str, two: str) -> bool:
         """Whether two words belong together so often that a line break between them is within a text."""
-        n = self.pair(one, two)
-        return n > 2 and (n >= JOINED * self.words.get(one, 1) or n >= JOINED * self.words.get(two, 1))
+        n = int(self.found.get("p" + pair(one, two), 0))
+        return n > 2 and (n >= JOINED * (self.uses(one) or 1) or n >= JOINED * (self.uses(two) or 1))
 
 
-class _Table:
-    """A bounded table; what is not in it is asked for."""
+_SEP = "\x1f"
 
-    def __init__(self, known: dict[str, int] | dict[str, str] | set[str], kind: str, ask) -> None:
-        self.known, self.kind, self.ask = known, kind, ask
 
-    def get(self, key: str, default=None):
-        found = (self.known.get(key) if isinstance(self.known, dict) else key in self.known or None) if key else None
-        if found is None and key:
-            found = self.ask(self.kind + key)
-        return default if found is None else found
+def pair(one: str, two: str) -> str:
+    return one + _SEP + two
 
-    def __contains__(self, key: str) -> bool:
-        return self.get(key) is not None
 
-    def __getitem__(self, key: str):
-        return self.get(key, 0)
+def is_odd(word: str) -> bool:
+    """Whether a word has a sign among its letters that stands for a letter only in misread words."""
+    return any(c in ODD for c in word) and any(c.isalpha() for c in word)
 
 
-class Asking(Model):
-    """A model whose tables are cut: for one text at a time, with the answers so far (null: not there), ``asked`` has what is missing."""
+def least_length(word: str) -> int:
+    return 2 if any(c in ODD for c in word) else 3
 
-    def __init__(self, words: dict[str, int], usual: dict[str, str], pairs: tuple[np.ndarray, np.ndarray], lines: set[str]) -> None:
-        super().__init__(words, usual, pairs, lines)
-        self.words, self.usual, self.lines = _Table(words, "w", self._ask), _Table(usual, "k", self._ask), _Table(lines, "l", self._ask)
 
-    def begin(self, answers: Iterable | None) -> None:
-        # What was found for the words of another text may rest on its answers.
-        self.memo, self.fine, self.asked = {}, set(), set()
-        self.answers = {x["key"]: x["value"] for x in answers} if answers is not None else {}
+def may_be_misread(word: str) -> bool:
+    return any(c.isalpha() for c in word) and not _STRANGE.search(word)
 
-    def _ask(self, key: str) -> int | str | None:
-        if key not in self.answers:
-            self.asked.add(key)
-            return None
-        found = self.answers[key]
-        return int(found) if found is not None and key[0] in "wp" else found
-
-    def pair(self, one: str, two: str) -> int:
-        return super().pair(one, two) or self._ask(f"p{one}\x1f{two}") or 0
-
-
-def answered(texts: DataFrame, model: Model) -> DataFrame:
-    """All that reading each distinct ``text`` looks up and the bounded tables lack: _h (its digest), _answers.
-
-    Texts are read with the answers so far and ask for what is missing, which is joined with the full counts; an answer may
-    lead to another question, so this goes on until no text asks.
-    """
-    shared = texts.sparkSession.sparkContext.broadcast((model.words, model.usual, (model.keys, model.counts), model.lines))
-    kind = "array<struct<key:string,value:string>>"
-
-    def asking(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = Asking(*shared.value)
-        for batch in batches:
-            keys = []
-            for text, answers in zip(batch["text"], batch["_answers"], strict=True):
-                model.begin(answers)
-                read_lines(text, model)
-                keys.append(list(model.asked))
-            yield batch[["_h", "text"]].assign(_keys=pd.Series(keys, batch.index, object))
 
-    def ask(state: DataFrame) -> DataFrame:
-        return cut(state.select("_h", "text", "_answers").mapInPandas(asking, "_h string, text string, _keys array<string>").where(F.size("_keys") > 0))
+class Filter:
+    """A set of keys in bits, one for each hash: what is not in it is surely not a key."""
 
-    digest = F.md5("text").alias("_h")
-    state = texts.select(digest, "text").dropDuplicates(["_h"]).withColumn("_answers", F.lit(None).cast(kind))
-    done = None
-    while not (open_ := ask(state)).isEmpty():
-        keys = open_.select("_h", F.explode("_keys").alias("key"))
-        new = keys.join(model.more, "key", "left").groupBy("_h").agg(F.collect_list(F.struct("key", "value")).alias("_answers"))
-        done = cut(new if done is None else done.unionByName(new).groupBy("_h").agg(F.flatten(F.collect_list("_answers")).alias("_answers")))
-        state = open_.select("_h", "text").join(done, "_h")
-    return done if done is not None else state.select("_h", "_answers").limit(0)
+    def __init__(self, bits: bytes) -> None:
+        self.bits = bits
+        self.fine: set[str] = set()  # pieces between blanks whose word is in no fact
 
+    def maybe(self, key: str) -> bool:
+        at = crc32(key.encode("utf-8", "replace")) % (len(self.bits) << 3)
+        return bool(self.bits[at >> 3] >> (at & 7) & 1)
 
-def with_answers(df: DataFrame, model: Model, text_column: str) -> DataFrame:
-    """``df`` with the column ``_answers``, null where the model's tables are whole or have all that the text needs."""
-    if model.more is None:
-        return df.withColumn("_answers", F.lit(None).cast("array<struct<key:string,value:string>>"))
-    found = answered(df.where(F.length(text_column) > 0).select(F.col(text_column).alias("text")), model)
-    return df.withColumn("_h", F.md5(text_column)).join(found, "_h", "left").drop("_h")
-
-
-def reader(tables: tuple, whole: bool):
-    """A function of a text and its answers that gives what ``read_lines`` does."""
-    model = Model(*tables) if whole else Asking(*tables)
-
-    def read(text: str, answers: Iterable | None) -> tuple[list[dict], int, int, int]:
-        if not whole:
-            model.begin(answers)
-        return read_lines(text, model)
-
-    return read
+    def suspects(self, text: str) -> set[str]:
+        """Words that may be misread."""
+        out = set()
+        if len(self.fine) > 400_000:  # bounds a worker's memory; only speed depends on it
+            self.fine.clear()
+        for piece in set(text.lower().split()) - self.fine:
+            word = _plain[piece]
+            if word and self.maybe("r" + word):
+                out.add(word)
+            else:
+                self.fine.add(piece)
+        return out
+
+    def asks(self, text: str) -> set[str] | None:
+        """The keys that ``read_lines`` of this text looks up, as far as they may be there; null if it is surely undamaged."""
+        suspects = self.suspects(text)
+        keys = self._misread_keys(text, suspects) if suspects else set()
+        raw = [line.rstrip("\r") for line in text.split("\n")]
+        shapes = [header_shape(line) for line in raw] if len(raw) > 1 else [0]
+        headers = [i for i, shape in enumerate(shapes) if shape and self.maybe("l" + mask(raw[i]))]
+        ends = [
+            [(k, m) for k, m in header_ends(line) if self.maybe("l" + m)] if not shape and may_end_in_header(line) else []
+            for shape, line in zip(shapes, raw, strict=True)
+        ]
+        if not keys and not headers and not any(ends) and not any(map(divided_at, raw[:-1])):
+            return None
+        for i in headers:
+            keys.add("l" + mask(raw[i]))
+            for one, two in neighbours(raw, i) if shapes[i] == 1 else ():
+                keys |= {"p" + pair(one, two), "w" + one, "w" + two}
+            keys |= {"w" + w for w in rests(raw, i)}
+        keys |= {"l" + m for found in ends for _, m in found}
+        cuts = [[line, *(without_end(line, k) for k, _ in found)] for line, found in zip(raw, ends, strict=True)]  # with and without headers at the end
+        for i, forms in enumerate(cuts):
+            for line in forms:
+                if divided_at(line):
+                    for j in range(i + 1, len(raw)):
+                        if raw[j].strip():
+                            word = joined_word(line, raw[j])
+                            if may_be_misread(word):
+                                keys |= {"w" + word, "k" + skeleton(word)}
+                            if j not in headers:  # else it may stand between the pieces
+                                break
+        return keys
+
+    def _misread_keys(self, text: str, suspects: set[str]) -> set[str]:
+        keys = set()
+        for line in text.split("\n"):
+            plain = [_plain[t] for t in line.lower().split()]
+            for k, word in enumerate(plain):
+                if word in suspects:
+                    before, after = plain[k - 1] if k else "", plain[k + 1] if k + 1 < len(plain) else ""
+                    beside = {x for x in ("b" + pair(before, word), "a" + pair(word, after)) if self.maybe(x)}
+                    if beside or is_odd(word):
+                        keys |= beside | {"r" + word}
+        return keys
 
 
 def _first(line: str) -> str:
@@ -322,7 +315,7 @@ def _last(line: str) -> str:
     return words[-1] if words else ""
 
 
-def read_lines(text: str, model: Model) -> tuple[list[dict], int, int, int]:
+def read_lines(text: str, known: Known) -> tuple[list[dict], int, int, int]:
     """The lines of a text with their kinds and repairs, and how many words are divided, misread and lines are headers.
 
     Kinds: header, blank, heading, option, body. ``text`` of a line has its misread words replaced; ``divided`` tells
@@ -330,13 +323,11 @@ def read_lines(text: str, model: Model) -> tuple[list[dict], int, int, int]:
     """
     raw = [line.rstrip("\r") for line in text.split("\n")]
     shapes = [header_shape(line) for line in raw] if len(raw) > 1 else [0]
-    tails = [0 if shape else header_at_end(line, model.lines) for shape, line in zip(shapes, raw, strict=True)]
-    if not any(shapes) and not any(tails) and not _BROKEN.search(text) and model.all_fine(text):
-        return [], 0, 0, 0
+    tails = [0 if shape else next((k for k, m in header_ends(line) if m in known.lines), 0) if known.lines else 0 for shape, line in zip(shapes, raw, strict=True)]
     kinds = []
     for i, line in enumerate(raw):
         shape = shapes[i]
-        if shape and mask(line) in model.lines and not (shape == 1 and _inside(raw, i, model)) and not _rest_of_word(raw, i, model):
+        if shape and mask(line) in known.lines and not (shape == 1 and _inside(raw, i, known)) and not any(known.uses(w) for w in rests(raw, i)):
             kinds.append("header")
         elif not line.strip():
             kinds.append("blank")
@@ -344,86 +335,83 @@ def read_lines(text: str, model: Model) -> tuple[list[dict], int, int, int]:
             kinds.append("heading" if _HEADING.match(line) else "option" if _OPTION.match(line) else "body")
     for i, k in enumerate(tails):
         if k:
-            raw[i] = re.match(rf"(?s).*?(?=(?:\s+\S+){{{k}}}\s*$)", raw[i]).group()
+            raw[i] = without_end(raw[i], k)
     divided = [False] * len(raw)
-    marked = [False] * len(raw)
     text_lines = [i for i, k in enumerate(kinds) if k not in ("header", "blank")]
     for i, j in zip(text_lines, text_lines[1:], strict=False):
         start = raw[j].lstrip()
-        m = _DIVIDED.search(raw[i])
-        # Capitals go on in capitals; the marks that only division has may be followed by any letter.
-        goes_on = start[:1].islower() or m and start[:1].isalpha() and (m.group()[1] in "¬­" or m.group()[0].isupper() and start[:2].isupper())
-        if kinds[j] in ("heading", "option") or not goes_on:
+        end = divided_at(raw[i])
+        if not end or kinds[j] in ("heading", "option"):
             continue
-        if m:
-            divided[i] = marked[i] = True
-        elif i + 1 == j and raw[i][-1:].isalpha():
-            tail, head = _last(raw[i]), _first(raw[j])
-            # Two pieces that are no words, but one together.
-            if tail not in model.words and head not in model.words and model.words.get(tail + head, 0) >= LEAST_USES:
-                divided[i] = True
+        # Capitals go on in capitals; the marks that only division has may be followed by any letter.
+        divided[i] = start[:1].islower() or start[:1].isalpha() and (end[1] in "¬\xad" or end[0].isupper() and start[:2].isupper())
     n_misread = 0
-    pieces = {i for i in text_lines if divided[i]}
     after_piece = {j for i, j in zip(text_lines, text_lines[1:], strict=False) if divided[i]}
     out = []
     for i, line in enumerate(raw):
         fixed = line
-        if kinds[i] not in ("header", "blank") and not model.all_fine(line):
-            tokens = [(m.start(), m.group()) for m in re.finditer(r"\S+", line)]
-            plain = [_plain[t.lower()] for _, t in tokens]
-            fixed, n = _fix(line, tokens, plain, model, i in after_piece, i in pieces)
+        if known.misread_words and kinds[i] not in ("header", "blank"):
+            fixed, n = _fix(line, known, i in after_piece, divided[i])
             n_misread += n
-        out.append({"kind": kinds[i], "text": fixed.strip(), "divided": divided[i], "marked": marked[i]})
+        out.append({"kind": kinds[i], "text": fixed.strip(), "divided": divided[i]})
     # Pieces of a divided word are judged together.
     for i, j in zip(text_lines, text_lines[1:], strict=False):
         if divided[i]:
-            tail, head = re.search(r"(\S*?)[-‐¬­]?\s*$", raw[i].rstrip()), re.match(r"\S*", raw[j].lstrip())
-            joined = (tail.group(1) + head.group()).lower().strip(_EDGES)
-            if joined and joined not in model.safe and any(c in ODD or c.isalpha() for c in joined):
-                right = model.right_form(joined)
-                if right is not None and (any(c in ODD for c in joined) or len(joined) > 4):
-                    n_misread += 1
+            word = joined_word(raw[i], raw[j])
+            if (any(c in ODD for c in word) or len(word) > 4) and known.joined(word) is not None:
+                n_misread += 1
     return out, sum(divided), n_misread, kinds.count("header") + sum(map(bool, tails))
 
 
-def _inside(raw: list[str], i: int, model: Model) -> bool:
-    """Whether a line that looks like a header reads on from its neighbours."""
+def _around(raw: list[str], i: int) -> tuple[str, str]:
+    """The lines with text before and after a line; question headings count as none."""
     before = next((x for x in reversed(raw[:i]) if x.strip()), "")
     after = next((x for x in raw[i + 1 :] if x.strip()), "")
     before, after = ("" if _HEADING.match(x) else x for x in (before, after))
+    return before, after
+
+
+def neighbours(raw: list[str], i: int) -> list[tuple[str, str]]:
+    """Pairs of words that meet at the breaks around a line, or would without it."""
+    before, after = _around(raw, i)
+    return [(_last(before), _first(raw[i])), (_last(raw[i]), _first(after)), (_last(before), _first(after))]
+
+
+def _inside(raw: list[str], i: int, known: Known) -> bool:
+    """Whether a line that looks like a header reads on from its neighbours."""
+    before, after = _around(raw, i)
+    into, out_of, past = neighbours(raw, i)
     capitals = lambda w: len(w) > 1 and w.isupper()
     words = _LETTER_WORD.findall(raw[i])
     if words and all(w.isupper() for w in words) and not any(c.isdigit() for c in raw[i]):
         near = [*_LETTER_WORD.findall(before)[-2:], *_LETTER_WORD.findall(after)[:2]]
-        if any(map(capitals, near)) and any(model.continues(a, b) for a, b in ((_last(before), _first(raw[i])), (_last(raw[i]), _first(after)))):
-            return True
-        return False
-    if any(c.isdigit() or c == "#" for c in _first(raw[i])) or before.rstrip()[-1:] in ".!?:":
+        return any(map(capitals, near)) and (known.continues(*into) or known.continues(*out_of))
+    if any(c.isdigit() or c == "#" for c in into[1]) or before.rstrip()[-1:] in ".!?:":
         return False
-    return model.continues(_last(before), _first(raw[i])) and not model.continues(_last(before), _first(after))
+    return known.continues(*into) and not known.continues(*past)
 
 
-def _rest_of_word(raw: list[str], i: int, model: Model) -> bool:
-    """Whether a line of small letters (like a Roman number) is the end of a word divided in the line before."""
-    if i == 0 or not raw[i].strip()[:1].islower() or not _DIVIDED.search(raw[i - 1]):
-        return False
+def rests(raw: list[str], i: int) -> list[str]:
+    """What a line of small letters (like a Roman number) may be the end of: a word divided in the line before."""
+    if i == 0 or not raw[i].strip()[:1].islower() or not divided_at(raw[i - 1]):
+        return []
     tail = re.search(r"(\S*?)([-‐¬­])\s*$", raw[i - 1]).group(1).lower().strip(_EDGES)
     rest = raw[i].strip()
-    return tail + rest in model.words or f"{tail}-{rest}" in model.words
+    return [tail + rest, f"{tail}-{rest}"]
 
 
-def _fix(line: str, tokens: list[tuple[int, str]], plain: list[str], model: Model, after_piece: bool, piece: bool) -> tuple[str, int]:
+def _fix(line: str, known: Known, after_piece: bool, piece: bool) -> tuple[str, int]:
+    """A line with its misread words replaced, and how many; pieces of divided words at its ends are left alone."""
+    tokens = [(m.start(), m.group()) for m in re.finditer(r"\S+", line)]
+    plain = [_plain[t.lower()] for _, t in tokens]
     out, at, n = [], 0, 0
     for k, ((start, token), word) in enumerate(zip(tokens, plain, strict=True)):
-        if not word or word in model.safe or (k == 0 and after_piece) or (k == len(tokens) - 1 and piece):
+        if word not in known.misread_words or (k == 0 and after_piece) or (k == len(tokens) - 1 and piece):
             continue
-        before = plain[k - 1] if k else ""
-        after = plain[k + 1] if k + 1 < len(plain) else ""
-        right = model.misread(before, word, after)
+        right = known.misread(plain[k - 1] if k else "", word, plain[k + 1] if k + 1 < len(plain) else "")
         if right is None:
             continue
-        low = token.lower()
-        i = low.find(word)
+        i = token.lower().find(word)
         new = right.capitalize() if token[i : i + 1].isupper() else right
         if len(word) > 2 and token[i : i + len(word)].isupper() and word.isalpha():
             new = right.upper()
@@ -432,10 +420,10 @@ def _fix(line: str, tokens: list[tuple[int, str]], plain: list[str], model: Mode
     return "".join(out) + line[at:], n
 
 
-def fit_model(texts: DataFrame) -> Model:
-    """Counts over a column ``text`` of all records, reduced to the most used words and pairs and to frequent header lines.
+def count_uses(texts: DataFrame) -> DataFrame:
+    """Uses over a column ``text`` of all records, written once: kind (w words, p pairs, l texts with a line), a, b, n.
 
-    Tasks sum their own texts first; the usual form of each skeleton is the most frequent one in an aggregate.
+    Tasks sum their own texts first.
     """
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -448,44 +436,97 @@ def fit_model(texts: DataFrame) -> Model:
                 counts = Counts()
         yield counts.rows()
 
-    total = cut(texts.mapInPandas(counted, "kind string, a string, b string, n long").groupBy("kind", "a", "b").agg(F.sum("n").alias("n")))
-    kind = lambda k, least: total.where((F.col("kind") == k) & (F.col("n") >= least))
-    words = dict(sorted(((r.a, r.n) for r in most_used(kind("w", 1), "n", MAX_WORDS).select("a", "n").collect()), key=lambda x: (-x[1], x[0])))
-    pairs = most_used(kind("p", 3), "n", MAX_PAIRS).select("a", "b", "n").collect()
-    lines = {r.a for r in most_used(kind("l", LEAST_LINES), "n", MAX_WORDS).select("a").collect()}
-    usual: dict[str, str] = {}
-    for word in words:  # most frequent first
-        if any(c.isalpha() for c in word) and not any(c in ODD for c in word):
-            usual.setdefault(skeleton(word), word)
-    keys = np.array([pair_key(r[0], r[1]) for r in pairs], dtype=np.int64)
-    order = np.argsort(keys)
-    counts = np.array([r[2] for r in pairs], dtype=np.int64)
-    model = Model(words, usual, (keys[order], counts[order]), lines)
-    there = {r.kind: r.m for r in total.where("kind = 'w' OR kind = 'p' AND n > 2 OR kind = 'l' AND n >= " + str(LEAST_LINES)).groupBy("kind").agg(F.count(F.lit(1)).alias("m")).collect()}
-    if (len(words), len(pairs), len(lines)) != tuple(there.get(k, 0) for k in "wpl"):
-        model.more = _all_counts(total)
-    return model
-
-
-def _all_counts(total: DataFrame) -> DataFrame:
-    """All that a text may ask for: counts of words and pairs, header lines, and the usual form of each skeleton."""
-
-    def shaped(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            fit = [any(c.isalpha() for c in w) and not any(c in ODD for c in w) for w in batch["a"]]
-            some = batch[np.array(fit, bool)]
-            yield pd.DataFrame({"s": [skeleton(w) for w in some["a"]], "a": some["a"].tolist(), "n": some["n"].tolist()}, columns=["s", "a", "n"])
+    return cut(texts.mapInPandas(counted, "kind string, a string, b string, n long").groupBy("kind", "a", "b").agg(F.sum("n").alias("n")))
+
 
-    kind = lambda k, least: total.where((F.col("kind") == k) & (F.col("n") >= least))
+def skeleton_of(word: Column) -> Column:
+    """``skeleton`` as a column."""
+    out = F.translate(word, "".join(map(chr, ALIKE)), "".join(ALIKE.values()))
+    for one, two in WIDE:
+        out = F.replace(out, F.lit(one), F.lit(two))
+    return F.translate(out, "".join(map(chr, MERGED)), "".join(MERGED.values()))
+
+
+class Facts:
+    """All that reading texts may look up, in tables: ``table`` (key, value; see ``Known``), and ``bits`` of a filter of those keys
+    that decide whether a text needs a look."""
+
+    def __init__(self, table: DataFrame, bits: bytes) -> None:
+        self.table, self.bits = table, bits
+
+
+def learn(texts: DataFrame, filter_bits: int = FILTER_BITS) -> Facts:
+    """The facts of a column ``text`` of all records.
+
+    Words are grouped by their skeleton; the usual form is the most frequent one (ties: alphabetical). A word is misread if the
+    usual form of its skeleton is at least ``RATIO`` times as frequent. All of it are aggregates and joins over the vocabulary, which
+    may have any size; only the filter's bits (a multiple of 64) reach the driver.
+    """
+    uses = count_uses(texts)
+    kind = lambda k, least=1: uses.where((F.col("kind") == k) & (F.col("n") >= least))
+    odd = F.col("a").rlike("[" + ODD + "]")
+    words = kind("w").where(F.col("a").rlike(r"(?U)\p{Alpha}")).select("a", "n", skeleton_of(F.col("a")).alias("s"), odd.alias("odd"))
+    best = F.max_by(F.struct("a", "n"), F.struct("n", smallest_last(F.col("a"))))
+    usual = words.where("NOT odd").groupBy("s").agg(best.alias("u")).select("s", F.col("u.a").alias("right"), F.col("u.n").alias("m"))
+    strange = F.col("a").rlike(r"(?U)[^\w\p{N}" + re.escape(ODD + "-'’") + "]")
+    misread = cut(
+        words.join(usual, "s")
+        .where((F.col("a") != F.col("right")) & ~strange & (F.length("right") >= F.when(F.col("odd"), 2).otherwise(3)))
+        .where(F.col("m") >= F.greatest(F.lit(LEAST_USES), RATIO * F.col("n")))
+        .select("a", "right", "odd")
+    )
+    # Pairs of a misread word of letters alone that the right form has too. Much used words are in very many pairs, hence the salt.
+    alone = misread.where("NOT odd").select(F.col("a").alias("wrong"), "right", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    pairs, often = kind("p"), kind("p", 3)
+    salt = lambda c: F.pmod(F.xxhash64(c), F.lit(SALTS)).cast("int").alias("salt")
+    before = pairs.select("a", F.col("b").alias("wrong"), salt("a")).join(alone, ["wrong", "salt"]).join(often.select("a", F.col("b").alias("right")), ["a", "right"])
+    after = pairs.select("b", F.col("a").alias("wrong"), salt("b")).join(alone, ["wrong", "salt"]).join(often.select("b", F.col("a").alias("right")), ["b", "right"])
     key = lambda k, *c: F.concat(F.lit(k), *c).alias("key")
-    n = F.col("n").cast("string").alias("value")
-    usual = kind("w", 1).select("a", "n").mapInPandas(shaped, "s string, a string, n long").groupBy("s").agg(F.min_by("a", F.struct(-F.col("n"), "a")).alias("value"))
-    return (
-        kind("w", 1).select(key("w", "a"), n)
-        .unionByName(kind("p", 3).select(key("p", "a", F.lit("\x1f"), "b"), n))
-        .unionByName(kind("l", LEAST_LINES).select(key("l", "a"), n))
-        .unionByName(usual.select(key("k", "s"), "value"))
+    sep, none, n = F.lit(_SEP), F.lit("").alias("value"), F.col("n").cast("string").alias("value")
+    deciding = cut(
+        misread.select(key("r", "a"), F.col("right").alias("value"))
+        .unionByName(before.select(key("b", "a", sep, "wrong"), none))
+        .unionByName(after.select(key("a", "wrong", sep, "b"), none))
+        .unionByName(kind("l", LEAST_LINES).select(key("l", "a"), none))
+    )
+    at = F.pmod(F.crc32("key"), F.lit(filter_bits))
+    long = F.shiftright(at, 6).cast("int").alias("i")
+    masks = deciding.groupBy(long).agg(F.expr("bit_or(shiftleft(1L, CAST(pmod(crc32(key), 64) AS INT)))").alias("x")).toArrow()
+    bits = np.zeros(filter_bits >> 6, dtype="<i8")
+    bits[masks.column("i").to_numpy()] = masks.column("x").to_numpy()
+    table = (
+        deciding.unionByName(kind("w").select(key("w", "a"), n))
+        .unionByName(often.select(key("p", "a", sep, "b"), n))
+        .unionByName(usual.select(key("k", "s"), F.concat_ws(_SEP, "right", F.col("m").cast("string")).alias("value")))
     )
+    return Facts(table, bits.tobytes())
+
+
+def suspicious(df: DataFrame, facts: Facts, id_column: str, text_column: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Rows whose text may be damaged, written once: ``keep``, id, _text, _keys (what the text looks up), _h (digest of the text)."""
+    key_type = df.schema[id_column].dataType.simpleString()
+    shared = df.sparkSession.sparkContext.broadcast(facts.bits)
+    narrow = df.select(*keep, F.col(id_column).alias("id"), F.col(text_column).alias("_text")).where(F.length("_text") > 0)
+
+    def asking(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = Filter(shared.value)
+        for batch in batches:
+            keys = [known.asks(t) for t in batch["_text"]]
+            at = [i for i, k in enumerate(keys) if k is not None]
+            yield batch.iloc[at].assign(_keys=pd.Series([list(keys[i]) for i in at], batch.index[at], object))
+
+    head = "".join(f"{c} {df.schema[c].dataType.simpleString()}, " for c in keep)
+    return cut(narrow.mapInPandas(asking, f"{head}id {key_type}, _text string, _keys array<string>").withColumn("_h", F.md5("_text")))
+
+
+def answers(asked: DataFrame, table: DataFrame) -> DataFrame:
+    """What the texts (_h, _keys) look up and is in ``table`` (key, value), one row per text that finds any: _h, _answers.
+
+    Only keys that are asked for meet the table, each once; a key that very many texts ask for meets them in a broadcast.
+    """
+    keys = cut(asked.select("_h", F.explode("_keys").alias("key")).distinct())
+    found = keys.select("key").distinct().join(table, "key")
+    return meet(keys, found, "key").groupBy("_h").agg(F.collect_list(F.struct("key", "value")).alias("_answers"))
 
 
 #: Lines travel to the windows as one string: a letter for the kind, one for how the line ends, and the text.
@@ -495,23 +536,24 @@ _END, _KINDS = "\x1e", {"body": "b", "heading": "h", "option": "o"}
 def pack_lines(lines: list[dict]) -> str:
     """Lines of text as one string, without headers and blank lines."""
     kept = (x for x in lines if x["kind"] in _KINDS)
-    return _END.join(f"{_KINDS[x['kind']]}{'-' if x['marked'] else '+' if x['divided'] else ' '}{x['text'].replace(_END, ' ')}" for x in kept)
+    return _END.join(f"{_KINDS[x['kind']]}{'-' if x['divided'] else ' '}{x['text'].replace(_END, ' ')}" for x in kept)
+
 
+def find_damage(df: DataFrame, facts: Facts, id_column: str = "id", text_column: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Damaged texts only: ``keep``, id, n_divided, n_misread, n_headers, and ``lines`` as ``reflow`` needs them.
 
-def find_damage(df: DataFrame, model: Model, id_column: str = "id", text_column: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """Damaged texts only: ``keep``, id, n_divided, n_misread, n_headers, and ``lines`` as ``reflow`` needs them."""
+    Every text is read once against the filter; those that need a look are written, meet the facts they ask for in joins and
+    are decided.
+    """
     key_type = df.schema[id_column].dataType.simpleString()
-    shared = df.sparkSession.sparkContext.broadcast((model.words, model.usual, (model.keys, model.counts), model.lines))
-    narrow = df.select(*keep, F.col(id_column).alias("id"), F.col(text_column).alias("_text")).where(F.length("_text") > 0)
-    whole = model.more is None
-    narrow = with_answers(narrow, model, "_text")
+    asked = suspicious(df, facts, id_column, text_column, keep)
+    met = meet(asked.drop("_keys"), answers(asked, facts.table), "_h", "left").drop("_h")
 
     def found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        read = reader(shared.value, whole)
         for batch in batches:
             rows, at = [], []
-            for i, (text, answers) in enumerate(zip(batch["_text"], batch["_answers"], strict=True)):
-                lines, divided, misread, headers = read(text, answers)
+            for i, (text, facts) in enumerate(zip(batch["_text"], batch["_answers"], strict=True)):
+                lines, divided, misread, headers = read_lines(text, Known(facts))
                 if divided or misread or headers:
                     at.append(i)
                     rows.append((divided, misread, headers, pack_lines(lines)))
@@ -519,7 +561,7 @@ def find_damage(df: DataFrame, model: Model, id_column: str = "id", text_column:
             yield pd.concat([head, pd.DataFrame(rows, columns=["n_divided", "n_misread", "n_headers", "lines"])], axis=1)
 
     head = "".join(f"{c} {df.schema[c].dataType.simpleString()}, " for c in keep)
-    return narrow.mapInPandas(found, f"{head}id {key_type}, n_divided int, n_misread int, n_headers int, lines string")
+    return met.mapInPandas(found, f"{head}id {key_type}, n_divided int, n_misread int, n_headers int, lines string")
 
 
 def reflow(damaged: DataFrame, *keys: str) -> DataFrame:
@@ -555,13 +597,13 @@ def reflow(damaged: DataFrame, *keys: str) -> DataFrame:
     )
 
 
-def repair_scans(df: DataFrame, model: Model | None = None, id_column: str = "id", text_column: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+def repair_scans(df: DataFrame, facts: Facts | None = None, id_column: str = "id", text_column: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """Texts damaged by scanning, with the repaired text.
 
     Result, one row per damaged id (and ``keep``): id, n_divided (words at line ends), n_misread (words), n_headers (lines of
     running headers and page numbers), repaired.
 
-    Without ``model`` one is made from all texts of ``df``: words are grouped by the skeleton of their confusable glyphs,
+    Without ``facts`` they are learnt from all texts of ``df``: words are grouped by the skeleton of their confusable glyphs,
     the form that is far more frequent and supported by the words beside it wins; lines are counted with digits
     masked; the lines that are left are reflowed with window functions.
 
@@ -570,7 +612,7 @@ def repair_scans(df: DataFrame, model: Model | None = None, id_column: str = "id
     id) give one row; extra columns are ignored.
     """
     narrow = df.select(*keep, F.col(id_column).alias("id"), F.col(text_column).alias("text"))
-    fitted = model or fit_model(narrow.where(F.length("text") > 0).select("text"))
-    damaged = find_damage(narrow, fitted, keep=keep)
+    known = facts or learn(narrow.where(F.length("text") > 0).select("text"))
+    damaged = find_damage(narrow, known, keep=keep)
     # The counts travel as keys, as a join back to them would read all texts twice.
     return reflow(damaged.dropDuplicates([*keep, "id"]), *keep, "id", "n_divided", "n_misread", "n_headers")

@@ -2,23 +2,19 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvina.llm import encoding, scans
+from corvina.operators.ranking import smallest_last
+from corvina.operators.skew import meet
+from corvina.session import cut
 
-# Fixed value: texts that only say that there is none.
-_PLACEHOLDER = re.compile(r"(?is)\s*(?:[\[(<{].*[\])>}]|n/?a|none|null|\W+|todo|tbd|lorem ipsum.*)?\s*")
-_CUT = re.compile(r"(?:\[\s*(?:\.{3}|…)\s*\]|…)\s*$")
-
-
-def smallest_last(c: Column) -> Column:
-    """A string that is the larger the smaller the (string) value is, for use inside a maximum."""
-    return F.concat(F.translate(F.hex(c.cast("string")), "0123456789ABCDEF", "FEDCBA9876543210"), F.lit("~"))
+# Fixed value: texts that only say that there is none: one pair of brackets without others inside, of few words, and the like.
+_PLACEHOLDER = r"(?isU)^\s*(?:\[[^\[\]]{0,60}\]|\([^()]{0,60}\)|<[^<>]{0,60}>|\{[^{}]{0,60}\}|n/?a|none|null|\W+|todo|tbd|lorem ipsum.*)?\s*$"
+_CUT = r"(?:\[\s*(?:\.{3}|…)\s*\]|…)\s*$"
 
 
 def survivors(df: DataFrame, key: str, id_column: str, fields: dict[str, Sequence[Column]]) -> DataFrame:
@@ -53,49 +49,35 @@ def survivors(df: DataFrame, key: str, id_column: str, fields: dict[str, Sequenc
 
 
 def text_condition(
-    df: DataFrame, codes: encoding.Model, pages: scans.Model, text_column: str, keep: Sequence[str], words: DataFrame | None = None
+    df: DataFrame, codes: encoding.Model, words: DataFrame, facts: scans.Facts, text_column: str, keep: Sequence[str]
 ) -> DataFrame:
     """``keep``, undamaged (neither garbled, nor with scan noise, nor empty, cut off or a placeholder), full_length.
 
-    With ``words``, the ``encoding.vocabulary`` of all texts, garbled ones are found by it in place of what ``codes`` knows.
-    ``full_length`` counts characters with white space squeezed, so of several undamaged wordings the longest is the full one.
+    Every distinct text is judged once: copies of a wording are reduced to a digest first, and the digests of bad texts meet
+    the rows, a text that very many rows have in a broadcast. ``words`` is the ``encoding.vocabulary`` and ``facts`` are those
+    of ``scans`` for all texts. ``full_length`` counts characters with white space squeezed, so of several undamaged wordings
+    the longest is the full one.
     """
-    shared = df.sparkSession.sparkContext.broadcast(
-        ((codes.table.astype("float32"), codes.forms, codes.follows, codes.usual), (pages.words, pages.usual, (pages.keys, pages.counts), pages.lines))
-    )
-
-    apart, whole = words is not None, pages.more is None
-
-    def judged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        codes, read = encoding.Model(*shared.value[0]), scans.reader(shared.value[1], whole)
-        for batch in batches:
-            good, lengths = [], []
-            for t, answers in zip(batch["_text"], batch["_answers"], strict=True):
-                fine = bool(t) and not _PLACEHOLDER.fullmatch(t) and not _CUT.search(t) and (apart or codes.repair(t) is None) and not any(read(t, answers)[1:])
-                good.append(fine and bool(t.strip()))
-                lengths.append(len(" ".join(t.split())) if t else 0)
-            yield batch.drop(columns=["_text", "_answers"]).assign(undamaged=good, full_length=lengths)
-
-    head = "".join(f"{c} {df.schema[c].dataType.simpleString()}, " for c in keep)
-    texts = df.select(*keep, F.col(text_column).alias("_text"))
-    if not apart:
-        return scans.with_answers(texts, pages, "_text").mapInPandas(judged, f"{head}undamaged boolean, full_length int")
-    # Equal texts are garbled alike, so a digest stands for the text where the two meet.
-    hashed = texts.withColumn("_h", F.md5("_text"))
-    garbled = encoding.repair_encoding(hashed, codes, "_h", "_text", words=words).select(F.col("id").alias("_h")).distinct().withColumn("_garbled", F.lit(True))
-    rows = scans.with_answers(texts, pages, "_text").withColumn("_h", F.md5("_text")).mapInPandas(judged, f"{head}_h string, undamaged boolean, full_length int")
-    met = rows.join(garbled, "_h", "left")
-    return met.select(*keep, (F.col("undamaged") & F.col("_garbled").isNull()).alias("undamaged"), "full_length")
-
-
-def surviving_questions(questions: DataFrame, codes: encoding.Model, pages: scans.Model, words: DataFrame | None = None) -> DataFrame:
+    t = F.col(text_column)
+    squeezed = F.trim(F.regexp_replace(t, r"(?U)\s+", " "))
+    fine = F.coalesce(~t.rlike(_PLACEHOLDER) & ~t.rlike(_CUT), F.lit(False))
+    rows = cut(df.select(*keep, fine.alias("_fine"), F.coalesce(F.length(squeezed), F.lit(0)).alias("full_length"), F.md5(t).alias("_h")))
+    texts = df.where(fine).select(F.md5(t).alias("_h"), t.alias("_text")).dropDuplicates(["_h"])
+    garbled = encoding.repair_encoding(texts, codes, "_h", "_text", words=words).select("id")
+    scanned = scans.find_damage(texts, facts, "_h", "_text").select("id")
+    bad = cut(garbled.unionByName(scanned).distinct().select(F.col("id").alias("_h"), F.lit(True).alias("_bad")))
+    met = meet(rows, bad, "_h", "left")
+    return met.select(*keep, (F.col("_fine") & F.col("_bad").isNull()).alias("undamaged"), "full_length")
+
+
+def surviving_questions(questions: DataFrame, codes: encoding.Model, words: DataFrame, facts: scans.Facts) -> DataFrame:
     """content_hash, text_from, confidence_from, images_from, n_rows of each group of questions with equal content_hash.
 
     Text: undamaged, full, then highest parsing_confidence, latest updated_at. Confidence: highest, then latest.
     Images: known, then latest. Ties: smallest id.
     """
     keep = ["id", "content_hash", "parsing_confidence", "has_images", "updated_at"]
-    judged = text_condition(questions.where(F.col("content_hash").isNotNull()), codes, pages, "question_text", keep, words)
+    judged = text_condition(questions.where(F.col("content_hash").isNotNull()), codes, words, facts, "question_text", keep)
     trust, late = F.col("parsing_confidence"), F.col("updated_at")
     return survivors(
         judged,

@@ -97,18 +97,10 @@ PROSE = "O governo anunciou uma nova medida para o setor de energia elétrica. A
 
 
 @pytest.fixture(scope="module")
-def pages():
-    counts = scans.Counts()
-    for i in range(60):
-        counts.add(PROSE)
-        counts.add(f"O governo anunciou uma nova\nCN - 1º dia | Caderno {i} - AZUL - Página {i}\nmedida para o setor.")
-    words = dict(counts.words.most_common())
-    usual: dict = {}
-    for w in words:
-        if w.isalpha():
-            usual.setdefault(scans.skeleton(w), w)
-    pairs = sorted((scans.pair_key(*p), n) for p, n in counts.pairs.items() if n > 2)
-    return scans.Model(words, usual, (np.array([k for k, _ in pairs]), np.array([n for _, n in pairs])), {x for x, n in counts.lines.items() if n >= 3})
+def pages(spark):
+    rows = [x for i in range(60) for x in (PROSE, f"O governo anunciou uma nova\nCN - 1º dia | Caderno {i} - AZUL - Página {i}\nmedida para o setor.")]
+    rows += ["O govern0 e a mcdida", "uma nova medicla para o setor", "uma nova mcdida."]
+    return scans.learn(spark.createDataFrame([(t,) for t in rows], "text string"))
 
 
 def repaired(spark, model, text):
@@ -117,9 +109,12 @@ def repaired(spark, model, text):
     return (got[0].n_divided, got[0].n_misread, got[0].n_headers, got[0].repaired) if got else None
 
 
-def test_skeletons():
+def test_skeletons(spark):
     for good, bad in (("forma", "forrna"), ("medida", "meclida"), ("setor", "sefor"), ("produção", "produça~o"), ("chuva", "cliuva"), ("casa", "c@5a"), ("pediu", "pediii")):
         assert scans.skeleton(good) == scans.skeleton(bad)
+    words = ["c@5a", "forrna", "produça~o", "ﬁm", "abc123", "li", "ii$|9!"]
+    rows = spark.createDataFrame([(w,) for w in words], "w string").select("w", scans.skeleton_of(F.col("w")).alias("s")).collect()
+    assert {r.w: r.s for r in rows} == {w: scans.skeleton(w) for w in words}
 
 
 def test_repairs(spark, pages):
@@ -251,12 +246,13 @@ def test_survivors(spark, codes, pages):
     ]
     schema = "id string, content_hash string, question_text string, parsing_confidence decimal(4,3), has_images boolean, updated_at timestamp_ntz, n_rows int"
     df = spark.createDataFrame(rows, schema)
-    found = survivors.surviving_questions(df, codes, pages)
+    words = encoding.vocabulary(df.where("question_text <> ''").select(F.col("question_text").alias("text")))
+    found = survivors.surviving_questions(df, codes, words, pages)
     got = {r.content_hash: (r.text_from, r.confidence_from, r.images_from) for r in found.collect()}
     assert got == {"g": ("e", "a", "f"), "h": ("h", "h", "h"), "e": ("n", "n", "l")}
     values = {r.content_hash: (r.parsing_confidence, r.has_images) for r in survivors.surviving_records(df, found).collect()}
     assert values["g"] == (Decimal("0.999"), True)
-    assert survivors.surviving_questions(df.limit(0), codes, pages).count() == 0
+    assert survivors.surviving_questions(df.limit(0), codes, words, pages).count() == 0
 
 
 def test_smallest_id_of_any_length(spark):
@@ -264,15 +260,25 @@ def test_smallest_id_of_any_length(spark):
     assert survivors.survivors(df, "k", "id", {"x": [F.lit(1)]}).first().x_from == "a"
 
 
-def test_words_behind_the_bounds(spark, monkeypatch):
-    """Bounded tables are a fast path only: with tables far too small the same damage is found."""
-    rare = ["o modernismo nasceu", "a coluna clara caiu"]
-    rows = [(f"a{i}", f"{PROSE} {rare[i % 2]} hoje.\nGRANDE PROVA FINAL 12\nfim do texto aqui") for i in range(40)]
-    rows += [("m", "vimos que o modemismo nasceu tarde"), ("n", "vimos a coluna elara caiu tarde"), ("h", "um texto\nGRANDE PROVA FINAL 7\nde duas linhas"), ("j", "o moder\nnismo nasceu"), ("g", "o nada")]
-    df = spark.createDataFrame(rows, "id string, text string")
-    read = lambda: {r.id: (r.n_divided, r.n_misread, r.n_headers, r.repaired) for r in scans.repair_scans(df).collect()}
-    whole = read()
+RARE = ["o modernismo nasceu", "a coluna clara caiu"]
+NOISY = [("m", "vimos que o modemismo nasceu tarde"), ("n", "vimos a coluna elara caiu tarde"), ("h", "um texto\nGRANDE PROVA FINAL 7\nde duas linhas"), ("g", "o nada")]
+
+
+def test_full_filter(spark):
+    """The filter only saves work: with one that lets everything pass the same damage is found."""
+    rows = [(f"a{i}", f"{PROSE} {RARE[i % 2]} hoje.\nGRANDE PROVA FINAL 12\nfim do texto aqui") for i in range(40)]
+    df = spark.createDataFrame([*rows, *NOISY], "id string, text string")
+    read = lambda facts: {r.id: (r.n_divided, r.n_misread, r.n_headers, r.repaired) for r in scans.repair_scans(df, facts).collect()}
+    whole = read(None)
     assert {"m", "n", "h"} <= set(whole) and whole["m"][3] == "vimos que o modernismo nasceu tarde"
-    monkeypatch.setattr(scans, "MAX_WORDS", 4)
-    monkeypatch.setattr(scans, "MAX_PAIRS", 4)
-    assert read() == whole
+    assert read(scans.learn(df.select("text"), 64)) == whole
+
+
+def test_large_vocabulary(spark):
+    """Among 300,000 other words, all used more often than it, a rare word stays, and a header of three uses is found."""
+    some = ["".join("bcdfgjklmnprstvx"[(i >> 4 * k) & 15] + "aeiouaei"[(i >> k) & 7] for k in range(5)) for i in range(300_000)]
+    rows = [(f"v{i}", " ".join(some[i : i + 300] * 2)) for i in range(0, len(some), 300)]
+    rows += [(f"a{i}", f"{PROSE} {RARE[i % 2]} hoje.") for i in range(40)] + [(f"h{i}", f"texto {i}\nRARO CADERNO {i}\nde linhas") for i in range(3)]
+    rows += [("ok", "vimos o modernista nascer"), *NOISY[:2]]
+    got = {r.id: r.n_headers for r in scans.repair_scans(spark.createDataFrame(rows, "id string, text string")).collect()}
+    assert got == {"m": 0, "n": 0, "h0": 1, "h1": 1, "h2": 1}
