@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from zlib import crc32
 
 import numpy as np
@@ -130,6 +130,13 @@ def header_shape(line: str) -> int:
     return 1 if len(words) > 1 and all(w.isupper() for w in words) and not re.search(r"[.!?] ", text) else 0
 
 
+def shaped_lines(text: str) -> tuple[list[str], list[int]]:
+    """The lines of a text and the ``header_shape`` of each; a single line is no header."""
+    raw = [line.rstrip("\r") for line in text.split("\n")] if "\r" in text else text.split("\n")
+    prose = _PROSE.search
+    return raw, [0 if len(line) > 120 or prose(line) else header_shape(line) for line in raw] if len(raw) > 1 else [0]
+
+
 def may_end_in_header(line: str) -> bool:
     """A quick look at the last word of a line."""
     last = line.rpartition(" ")[2]
@@ -161,26 +168,66 @@ def joined_word(line: str, following: str) -> str:
     return (tail.group(1) + head.group()).lower().strip(_EDGES)
 
 
+class _Places(dict):
+    """A number for the word of each piece between blanks; -1 where there is none."""
+
+    def __init__(self) -> None:
+        self.words: dict[str, int] = {}
+
+    def __missing__(self, piece: str) -> int:
+        word = _plain[piece]
+        n = self[piece] = self.words.setdefault(word, len(self.words)) if word else -1
+        return n
+
+
 class Counts:
-    """Counts that a task sums before anything leaves it."""
+    """Counts that a task sums before anything leaves it. Words are numbered, so that those of many texts are counted at once."""
 
     def __init__(self) -> None:
-        self.words: Counter = Counter()
-        self.pairs: Counter = Counter()
+        self.places = _Places()
+        self.waiting: list[int] = []
+        self.words: list[tuple[np.ndarray, np.ndarray]] = []
+        self.pairs: list[tuple[np.ndarray, np.ndarray]] = []
         self.lines: Counter = Counter()
 
     def add(self, text: str) -> None:
-        words = words_of(text)
-        self.words.update(words)
-        self.pairs.update(zip(words, words[1:], strict=False))
+        self.waiting += map(self.places.__getitem__, text.lower().split())
+        self.waiting.append(-2)  # pairs end with the text
         if "\n" in text:
-            self.lines.update({mask(line) for line in text.split("\n") if header_shape(line)})
+            self.lines.update({mask(line) for line, shape in zip(*shaped_lines(text), strict=True) if shape})
+        if len(self.waiting) > 1_000_000:
+            self.sum()
+
+    def sum(self) -> None:
+        ids = np.array(self.waiting, dtype=np.int64)
+        ids = ids[ids != -1]
+        self.waiting = []
+        one, two = ids[:-1], ids[1:]
+        inside = (one >= 0) & (two >= 0)
+        for found, new in ((self.words, ids[ids >= 0]), (self.pairs, one[inside] << 32 | two[inside])):
+            keys, n = np.unique(new, return_counts=True)
+            if found:
+                old = found.pop()
+                keys, back = np.unique(np.concatenate([old[0], keys]), return_inverse=True)
+                n = np.bincount(back, np.concatenate([old[1], n]), len(keys)).astype(np.int64)
+            found.append((keys, n))
+
+    def size(self) -> int:
+        return len(self.places) + len(self.lines) + sum(len(k) for k, _ in self.pairs)
 
     def rows(self) -> pd.DataFrame:
-        rows = [("w", w, "", n) for w, n in self.words.items()]
-        rows += [("p", a, b, n) for (a, b), n in self.pairs.items()]
-        rows += [("l", x, "", n) for x, n in self.lines.items()]
-        return pd.DataFrame(rows, columns=["kind", "a", "b", "n"])
+        self.sum()
+        names = np.array(list(self.places.words) or [""], dtype=object)
+        (words, n), (pairs, m) = self.words[0], self.pairs[0]
+        lines = list(self.lines.items())
+        return pd.DataFrame(
+            {
+                "kind": ["w"] * len(words) + ["p"] * len(pairs) + ["l"] * len(lines),
+                "a": np.concatenate([names[words], names[pairs >> 32], np.array([x for x, _ in lines], dtype=object)]),
+                "b": np.concatenate([np.full(len(words), "", object), names[pairs & 0xFFFFFFFF], np.full(len(lines), "", object)]),
+                "n": np.concatenate([n, m, np.array([x for _, x in lines], dtype=np.int64)]).astype(np.int64),
+            }
+        )
 
 
 class Known:
@@ -190,8 +237,10 @@ class Known:
     the right form supports; l: header lines; w, p: uses of words and pairs; k: the usual form of a skeleton and its uses.
     """
 
-    def __init__(self, found: Iterable | None) -> None:
-        self.found = {x["key"]: x["value"] for x in found} if found is not None else {}
+    def __init__(self, found: str | None) -> None:
+        """``found``: keys and values, each after the ``_GAP`` that ends the one before."""
+        parts = found.split(_GAP) if found else []
+        self.found = dict(zip(parts[::2], parts[1::2], strict=True))
         self.misread_words = {k[1:] for k in self.found if k[0] == "r"}
         self.lines = {k[1:] for k in self.found if k[0] == "l"}
 
@@ -216,7 +265,8 @@ class Known:
         return n > 2 and (n >= JOINED * (self.uses(one) or 1) or n >= JOINED * (self.uses(two) or 1))
 
 
-_SEP = "\x1f"
+#: Between the words of a pair, and between the keys and values of one text.
+_SEP, _GAP = "\x1f", "\x1d"
 
 
 def pair(one: str, two: str) -> str:
@@ -264,8 +314,7 @@ class Filter:
         """The keys that ``read_lines`` of this text looks up, as far as they may be there; null if it is surely undamaged."""
         suspects = self.suspects(text)
         keys = self._misread_keys(text, suspects) if suspects else set()
-        raw = [line.rstrip("\r") for line in text.split("\n")]
-        shapes = [header_shape(line) for line in raw] if len(raw) > 1 else [0]
+        raw, shapes = shaped_lines(text)
         headers = [i for i, shape in enumerate(shapes) if shape and self.maybe("l" + mask(raw[i]))]
         ends = [
             [(k, m) for k, m in header_ends(line) if self.maybe("l" + m)] if not shape and may_end_in_header(line) else []
@@ -321,8 +370,7 @@ def read_lines(text: str, known: Known) -> tuple[list[dict], int, int, int]:
     Kinds: header, blank, heading, option, body. ``text`` of a line has its misread words replaced; ``divided`` tells
     that its last word goes on in the next body line, ``marked`` that a mark for that is to be dropped.
     """
-    raw = [line.rstrip("\r") for line in text.split("\n")]
-    shapes = [header_shape(line) for line in raw] if len(raw) > 1 else [0]
+    raw, shapes = shaped_lines(text)
     tails = [0 if shape else next((k for k, m in header_ends(line) if m in known.lines), 0) if known.lines else 0 for shape, line in zip(shapes, raw, strict=True)]
     kinds = []
     for i, line in enumerate(raw):
@@ -350,7 +398,7 @@ def read_lines(text: str, known: Known) -> tuple[list[dict], int, int, int]:
     out = []
     for i, line in enumerate(raw):
         fixed = line
-        if known.misread_words and kinds[i] not in ("header", "blank"):
+        if known.misread_words and kinds[i] not in ("header", "blank") and any(_plain[t] in known.misread_words for t in line.lower().split()):
             fixed, n = _fix(line, known, i in after_piece, divided[i])
             n_misread += n
         out.append({"kind": kinds[i], "text": fixed.strip(), "divided": divided[i]})
@@ -431,7 +479,7 @@ def count_uses(texts: DataFrame) -> DataFrame:
         for batch in batches:
             for t in batch["text"]:
                 counts.add(t)
-            if len(counts.words) + len(counts.pairs) + len(counts.lines) > 600_000:  # a task's memory stays bounded; the rest is summed later
+            if counts.size() > 600_000:  # a task's memory stays bounded; the rest is summed later
                 yield counts.rows()
                 counts = Counts()
         yield counts.rows()
@@ -503,7 +551,7 @@ def learn(texts: DataFrame, filter_bits: int = FILTER_BITS) -> Facts:
 
 
 def suspicious(df: DataFrame, facts: Facts, id_column: str, text_column: str, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Rows whose text may be damaged, written once: ``keep``, id, _text, _keys (what the text looks up), _h (digest of the text)."""
+    """Rows whose text may be damaged, written once: ``keep``, id, _text, _keys (what the text looks up, in one string), _h (digest of the text)."""
     key_type = df.schema[id_column].dataType.simpleString()
     shared = df.sparkSession.sparkContext.broadcast(facts.bits)
     narrow = df.select(*keep, F.col(id_column).alias("id"), F.col(text_column).alias("_text")).where(F.length("_text") > 0)
@@ -513,10 +561,10 @@ def suspicious(df: DataFrame, facts: Facts, id_column: str, text_column: str, ke
         for batch in batches:
             keys = [known.asks(t) for t in batch["_text"]]
             at = [i for i, k in enumerate(keys) if k is not None]
-            yield batch.iloc[at].assign(_keys=pd.Series([list(keys[i]) for i in at], batch.index[at], object))
+            yield batch.iloc[at].assign(_keys=pd.Series([_GAP.join(keys[i]) for i in at], batch.index[at], object))
 
     head = "".join(f"{c} {df.schema[c].dataType.simpleString()}, " for c in keep)
-    return cut(narrow.mapInPandas(asking, f"{head}id {key_type}, _text string, _keys array<string>").withColumn("_h", F.md5("_text")))
+    return cut(narrow.mapInPandas(asking, f"{head}id {key_type}, _text string, _keys string").withColumn("_h", F.md5("_text")))
 
 
 def answers(asked: DataFrame, table: DataFrame) -> DataFrame:
@@ -524,9 +572,10 @@ def answers(asked: DataFrame, table: DataFrame) -> DataFrame:
 
     Only keys that are asked for meet the table, each once; a key that very many texts ask for meets them in a broadcast.
     """
-    keys = cut(asked.select("_h", F.explode("_keys").alias("key")).distinct())
+    keys = cut(asked.where("_keys != ''").select("_h", F.explode(F.split("_keys", _GAP)).alias("key")).distinct())
     found = keys.select("key").distinct().join(table, "key")
-    return meet(keys, found, "key").groupBy("_h").agg(F.collect_list(F.struct("key", "value")).alias("_answers"))
+    one = F.concat_ws(_GAP, "key", "value")
+    return meet(keys, found, "key").groupBy("_h").agg(F.array_join(F.collect_list(one), _GAP).alias("_answers"))
 
 
 #: Lines travel to the windows as one string: a letter for the kind, one for how the line ends, and the text.
