@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvina.operators.ranking import bounded_sample
+from corvina.operators.skew import meet
 from corvina.session import cut
 
 #: Chains of (encoding written, encoding read) that turn right text into garbled text.
@@ -224,8 +225,20 @@ class Model:
         self.memo[token] = found
         return found
 
-    def _undo(self, token: str, chain: str) -> str | None:
-        """The word before the chain, all of whose characters may stand in undamaged text."""
+    def ended(self, text: str) -> list[re.Match]:
+        """Words before a question mark after which the sentence goes on that the classifier finds likelier to have lost a letter there."""
+        if "?" not in text:
+            return []
+        found = []
+        for m in _GOES_ON.finditer(text):
+            scores = self.likelihoods(m.group())
+            if scores[1] - scores[0] > 0:
+                found.append(m)
+        return found
+
+    def _undo(self, token: str, chain: str) -> tuple[str, bool] | None:
+        """The word before the chain, all of whose characters may stand in undamaged text, and whether it is not the strict
+        inverse but the known word that gives the token where unseen characters were dropped."""
 
         def fine(right: str | None, wrong: str) -> bool:
             return right is not None and right != wrong and all(" " <= c < "\x80" or c in LETTERS or c in SIGNS or c == "\xa0" for c in right)
@@ -234,7 +247,7 @@ class Model:
         for form in dict.fromkeys((bare, token)):
             right = invert(form, chain)
             if fine(right, form):
-                return right + token[len(form) :]
+                return right + token[len(form) :], False
         if _GAP.search(bare) and CHAINS[chain][0][0] == "utf-8":  # unseen characters may have been dropped there
             seen = bare.translate(_UNSEEN_TABLE)
             for word in self.words.get(_bones(bare), ()):
@@ -246,14 +259,14 @@ class Model:
                     ends = [_outside(x, chain) for x in (seen[:at], seen[at + len(wrong) :])]
                     if None not in ends and _core(whole := right.join(ends)) == word and fine(whole, bare):
                         # A mark at the end may be the last character of a garbled one.
-                        return whole if whole[-1] in _LINE_END_MARKS and whole[-1] == token[-1] else whole + token[len(bare) :]
+                        return (whole if whole[-1] in _LINE_END_MARKS and whole[-1] == token[-1] else whole + token[len(bare) :]), True
         return None
 
     def asks(self, text: str) -> set[str]:
         """What ``repair`` of this text may look up, each with a letter for the table; empty if it is surely undamaged."""
         if "Ã " in text:
             text = _BLANK.sub("Ã\xa0", text)
-        out = {"f" + m.group().lower() for m in _GOES_ON.finditer(text)} if "?" in text else set()
+        out = {"f" + m.group().lower() for m in self.ended(text)}
         for m in _TOKEN.finditer(text):
             token = m.group()
             lead = self.suspicious(token)
@@ -269,8 +282,8 @@ class Model:
             if _GAP.search(bare):
                 out.add("g" + _bones(bare))
             for k in np.flatnonzero(lead > MARGIN / 2):
-                if CLASSES[k] in CHAINS and (right := self._undo(token, CLASSES[k])) is not None:
-                    out.add("k" + _core(right))
+                if CLASSES[k] in CHAINS and (undone := self._undo(token, CLASSES[k])) is not None:
+                    out.add("k" + _core(undone[0]))
         return out
 
     def answered(self, found: Iterable[tuple[str, str]]) -> Model:
@@ -293,15 +306,15 @@ class Model:
                 self.words.setdefault(key, []).append(value)
         return self
 
-    def restore(self, token: str, lead: np.ndarray, evidence: np.ndarray, strict: float, seen: set[str], after: str) -> tuple[str, str | None] | None:
-        """(class, restored word or null) of a damaged word; null if it is undamaged.
+    def restore(self, token: str, lead: np.ndarray, evidence: np.ndarray, strict: float, seen: set[str], after: str) -> tuple[str, str | None, bool] | None:
+        """(class, restored word or null, whether filled in from known words) of a damaged word; null if it is undamaged.
 
         Any byte is a letter in a one-byte encoding, so chains between two of these also need a known word, or another
         word of the record with the same damage (``seen``). A usual word is damaged only along with others.
         """
         bare = _bare(token)
         if REPLACED in bare:
-            return LOST, self._fill(bare, token[len(bare) :], after)
+            return LOST, self._fill(bare, token[len(bare) :], after), True
         base = self.likelihoods(bare)[0]
         for k in np.argsort(-(lead + evidence), kind="stable"):
             name = CLASSES[k]
@@ -309,14 +322,15 @@ class Model:
                 continue
             if name == LOST:
                 if _LOST.search(bare) and "://" not in bare:
-                    return LOST, self._fill(bare, token[len(bare) :], after)
+                    return LOST, self._fill(bare, token[len(bare) :], after), True
                 continue
             usual = token in self.usual
             if name not in seen and usual and not self.uses:
                 continue
-            right = self._undo(token, name)
-            if right is None or self.likelihoods(_bare(right))[0] < base + GAIN:
+            undone = self._undo(token, name)
+            if undone is None or self.likelihoods(_bare(undone[0]))[0] < base + GAIN:
                 continue
+            right = undone[0]
             known = _core(right) in self.known
             written = CHAINS[name][0][0]
             if usual and (written == "utf-8" or len(_core(right)) > 3):  # short words are each other's garbled forms in one-byte encodings
@@ -324,7 +338,7 @@ class Model:
             if usual and name not in seen:
                 continue
             if written == "utf-8" or known and not usual or name in seen and (known or not usual):
-                return name, right
+                return name, *undone
         return None
 
     def _fill(self, bare: str, tail: str, after: str) -> str | None:
@@ -341,21 +355,22 @@ class Model:
         parts = re.match(r"^([^\w?�]*)(.*?)([^\w?�]*)$", bare, re.S).groups()
         return parts, parts[1].replace(REPLACED, "?").lower()
 
-    def repair(self, text: str) -> tuple[str, int, str | None] | None:
-        """Class of the damage, damaged words, restored text (null where a word can't be restored); null if undamaged."""
+    def repair(self, text: str) -> tuple[str, int, int, str | None] | None:
+        """Class of the damage, damaged words, how many of them are filled in from known words, restored text (null where a
+        word can't be restored); null if undamaged."""
         if "Ã " in text:
             text = _BLANK.sub("Ã\xa0", text)
         leads = [(m, lead) for m in _TOKEN.finditer(text) if (lead := self.suspicious(m.group())) is not None]
-        ended = [m for m in _GOES_ON.finditer(text) if m.group().lower() in self.forms] if "?" in text else []
+        ended = [m for m in self.ended(text) if m.group().lower() in self.forms]
         if not leads and not ended:
             return None
         evidence = np.sum([np.maximum(lead, 0) for _, lead in leads], axis=0) / 2 if leads else np.zeros(len(CLASSES))
-        damaged: dict[int, tuple[re.Match, str, str | None]] = {}
+        damaged: dict[int, tuple[re.Match, str, str | None, bool]] = {}
         for m in ended:
             found = self.forms[m.group().lower()]
-            damaged[m.start()] = (m, LOST, found.capitalize() if m.group()[0].isupper() else found)
+            damaged[m.start()] = (m, LOST, found.capitalize() if m.group()[0].isupper() else found, True)
         for strict in (MARGIN, MARGIN / 2):
-            seen = {name for _, name, _ in damaged.values()}
+            seen = {name for _, name, *_ in damaged.values()}
             if strict < MARGIN and not seen:
                 break
             for m, lead in leads:
@@ -365,16 +380,17 @@ class Model:
                         damaged[m.start()] = (m, *found)
         if not damaged:
             return None
-        name = Counter(c for _, c, _ in damaged.values()).most_common(1)[0][0]
-        if any(word is None for _, _, word in damaged.values()):
-            return name, len(damaged), None
+        name = Counter(x[1] for x in damaged.values()).most_common(1)[0][0]
+        filled = sum(x[3] for x in damaged.values())
+        if any(x[2] is None for x in damaged.values()):
+            return name, len(damaged), filled, None
         out, at = [], 0
-        for _, (m, name_of, word) in sorted(damaged.items()):
+        for _, (m, name_of, word, _) in sorted(damaged.items()):
             if name_of == LOST and len(_core(m.group()).strip("?�")) == 0 and re.search(r"(?:^|[.!?:]|\n)\s*[\"“«—]?\s*$", text[: m.start()]):
                 word = word.upper()  # a lone letter that begins a sentence
             out += [text[at : m.start()], word]
             at = m.end()
-        return name, len(damaged), "".join(out) + text[at:]
+        return name, len(damaged), filled, "".join(out) + text[at:]
 
 
 def fit(texts: Iterable[str]) -> Model:
@@ -485,7 +501,8 @@ def repair_encoding(
     """The garbled texts of ``df``, each with what happened to it.
 
     Result, one row per garbled row: the columns ``keep``, id, chain (of CHAINS, or 'lost' where letters became
-    replacement signs), n_damaged (words), restored (null where lost letters can't be told).
+    replacement signs), n_damaged (words), n_filled (of them restored as known words that fit, as letters were lost or unseen
+    characters dropped; the others by inverting the chain), restored (null where lost letters can't be told).
 
     Every word beyond ASCII, or with a question mark inside, is classified; the likeliest chain is inverted and
     counts only if every step decodes strictly to known letters that read better than before. Words undamaged
@@ -500,7 +517,7 @@ def repair_encoding(
     narrow = df.select(*keep, F.col(id_column).alias("id"), F.col(text_column).alias("_text")).where(F.col("_text").rlike(r"[^\x00-\x7f]|\?"))
 
     head = "".join(f"{c} {df.schema[c].dataType.simpleString()}, " for c in keep)
-    result = f"{head}id {key_type}, chain string, n_damaged int, restored string"
+    result = f"{head}id {key_type}, chain string, n_damaged int, n_filled int, restored string"
 
     def repaired(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = Model(*shared.value)
@@ -513,7 +530,7 @@ def repair_encoding(
                 if (r := model.repair(t)) is not None:
                     found.append((i, *r))
             rows = batch.iloc[[f[0] for f in found]].drop(columns=["_text", "_answers"], errors="ignore").reset_index(drop=True)
-            yield pd.concat([rows, pd.DataFrame([f[1:] for f in found], columns=["chain", "n_damaged", "restored"])], axis=1)
+            yield pd.concat([rows, pd.DataFrame([f[1:] for f in found], columns=["chain", "n_damaged", "n_filled", "restored"])], axis=1)
 
     if words is None:
         return narrow.mapInPandas(repaired, result)
@@ -528,7 +545,9 @@ def repair_encoding(
 
     asked = cut(narrow.mapInPandas(asking, f"{head}id {key_type}, _text string, _keys array<string>").withColumn("_h", F.md5("_text")))
 
-    keys = asked.select("_h", F.explode("_keys").alias("key")).distinct()
-    by_text = keys.join(words, "key").groupBy("_h").agg(F.collect_list(F.struct("key", "value")).alias("_answers"))
-    met = asked.drop("_keys").join(by_text, "_h", "left").drop("_h")
+    # A key or a text that very many rows have meets them in a broadcast. A key may have several values, hence the lists.
+    keys = cut(asked.select("_h", F.explode("_keys").alias("key")).distinct())
+    found = keys.select("key").distinct().join(words, "key").groupBy("key").agg(F.collect_list("value").alias("values"))
+    by_text = meet(keys, found, "key").select("_h", "key", F.explode("values").alias("value")).groupBy("_h").agg(F.collect_list(F.struct("key", "value")).alias("_answers"))
+    met = meet(asked.drop("_keys"), by_text, "_h", "left").drop("_h")
     return met.mapInPandas(repaired, result)

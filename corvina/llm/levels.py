@@ -4,15 +4,14 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from zlib import crc32
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvina.operators.ranking import most_used
 from corvina.session import cut
 
 LEVELS = ("basico", "medio", "avancado")
@@ -27,13 +26,15 @@ ACQUIRED = 0.25
 QUANTILES = (0.5, 0.65, 0.8, 0.9)
 #: A word must be used at least so often to get a grade.
 LEAST_USES = 5
-#: So many words at most are known, the most used first; this bounds what is broadcast.
-MAX_WORDS = 200_000
+#: Words are known by a hash of so many places, whatever the size of the vocabulary; words that fall
+#: on one place share its uses and grade. This bounds what is broadcast: a byte for each place.
+PLACES = 1 << 22
 
 #: Fixed value: what counts as a word that can be known; fragments with foreign letters cannot.
-PLAIN_WORD = "^([aeoéà]|[a-záàâãéêíóôõúüç]{2,})$"
+PLAIN_WORD = re.compile("[aeoéà]|[a-záàâãéêíóôõúüç]{2,}")
 
 _WORD = re.compile(r"[^\W\d_]+")
+_PIECE = re.compile(r"[^ \t\r\n]+")
 _VOWELS = re.compile(r"[aeiouáàâãéêíóôõúüy]+")
 _HIATUS = re.compile(r"[aeo][aeo]|[íú]")
 
@@ -44,151 +45,167 @@ def syllables(word: str) -> int:
     return max(1, len(groups) + sum(len(g) > 1 and bool(_HIATUS.search(g)) for g in groups))
 
 
-def first_grade(words: list[str], memo: dict[str, int]) -> int:
-    """A grade from 0 from the mean syllables of the words; it only starts the estimate."""
-    total = 0
-    for w in words:
-        n = memo.get(w)
-        if n is None:
-            if len(memo) > 300_000:
-                memo.clear()
-            n = memo[w] = syllables(w)
-        total += n
-    mean = total / max(1, len(words))
-    low, high = SYLLABLE_BOUNDS
+def first_grade(mean: np.ndarray, bounds: tuple[float, float] = SYLLABLE_BOUNDS) -> np.ndarray:
+    """Grades from 0 from the mean syllables of texts' words; they only start the estimate."""
+    low, high = bounds
     third = GRADES // 3
     # The bounds fall on the edges of the thirds; beyond them the scale goes on at the same steps.
-    return min(GRADES - 1, max(0, math.floor(third + (mean - low) / (high - low) * third)))
+    return np.clip(np.floor(third + (mean - low) / (high - low) * third), 0, GRADES - 1).astype(np.int64)
 
 
-def word_grades(counted: DataFrame, total: dict[int, float]) -> DataFrame:
-    """The grade at which each word is acquired. ``counted``: word, grade, n; ``total``: all words used by grade."""
-    rate = [f"coalesce(max(CASE WHEN grade = {g} THEN n END), 0) / {float(max(total.get(g, 0), 1))}D AS r{g}" for g in range(GRADES)]
-    by_word = counted.groupBy("word", "grade").agg(F.sum("n").alias("n")).groupBy("word").agg(F.sum("n").alias("uses"), *[F.expr(r) for r in rate])
-    rates = [F.col(f"r{g}") for g in range(GRADES)]
-    whole = sum(rates[1:], rates[0])
-    grade: Column = F.lit(GRADES - 1)
-    for g in range(GRADES - 2, -1, -1):
-        upto = sum(rates[1 : g + 1], rates[0])
-        grade = F.when(upto >= whole * ACQUIRED, g).otherwise(grade)
-    return by_word.where((F.col("uses") >= LEAST_USES) & F.col("word").rlike(PLAIN_WORD)).select("word", "uses", grade.cast("int").alias("grade"))
-
-
-def text_quantiles(grades: list[int]) -> list[float] | None:
-    """Linear quantiles; plain Python, as texts have few words and numpy's call costs more than the work."""
-    if not grades:
-        return None
-    grades = sorted(grades)
-    out = []
-    for q in QUANTILES:
-        at = q * (len(grades) - 1)
-        low = int(at)
-        value = grades[low]
-        out.append(value + (at - low) * (grades[low + 1] - value) if at > low else float(value))
-    return out
+class _Words(dict):
+    """Place and syllables of each lower-case word; place -1: no plain word."""
+
+    def __missing__(self, word: str) -> tuple[int, int]:
+        if len(self) > 400_000:  # bounds a worker's memory; only speed depends on it
+            self.clear()
+        found = self[word] = (crc32(word.encode()) % PLACES if PLAIN_WORD.fullmatch(word) else -1, syllables(word))
+        return found
+
+
+def tokenised(df: DataFrame) -> DataFrame:
+    """The texts (id, text) as numbers, written once: id, n_words (pieces between blanks), syllables (mean), places (of its words)."""
+    key_type = df.schema["id"].dataType.simpleString()
+
+    def numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _Words()
+        for batch in batches:
+            pieces, means, places, ends = [], [], [], [0]
+            for t in batch.column(1).to_pylist():
+                words = [known[w] for w in _WORD.findall(t.lower())]
+                pieces.append(len(_PIECE.findall(t)))
+                means.append(sum(n for _, n in words) / len(words) if words else None)
+                places += [p for p, _ in words]
+                ends.append(len(places))
+            column = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(places, pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pieces, pa.int32()), pa.array(means, pa.float64()), column], ["id", "n_words", "syllables", "places"])
+
+    return cut(df.select("id", "text").mapInArrow(numbers, f"id {key_type}, n_words int, syllables double, places array<int>"))
+
+
+def _batch(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of all words of a batch, the row of each, and the mean syllables of the rows (NaN: no words)."""
+    lists = batch.column(batch.schema.get_field_index("places"))
+    sizes = np.diff(lists.offsets.to_numpy())
+    means = batch.column(batch.schema.get_field_index("syllables")).to_numpy(zero_copy_only=False).astype(float)
+    return lists.flatten().to_numpy(), np.repeat(np.arange(batch.num_rows), sizes), means
+
+
+def text_quantiles(counts: np.ndarray) -> np.ndarray:
+    """Linear quantiles of each row of counts per grade; those of a row without any mean nothing."""
+    upto = counts.cumsum(axis=1)
+    last = np.maximum(upto[:, -1:] - 1, 0)
+    at = np.array(QUANTILES) * last
+    low = np.floor(at)
+    grade = lambda k: (upto[:, None, :] <= k[:, :, None]).sum(axis=2).clip(0, GRADES - 1)  # noqa: E731  grade of the k-th word
+    below, above = grade(low), grade(np.minimum(low + 1, last))
+    return below + (at - low) * (above - below)
 
 
 class Scale:
-    """Known words and the calibration from quantiles of their grades to a place on the scale of grades."""
+    """The grades of places (-1: unknown) and the calibration from quantiles of a text's grades to a place on the scale."""
 
-    def __init__(self, known: dict[str, int], weights: np.ndarray) -> None:
+    def __init__(self, known: np.ndarray, weights: np.ndarray) -> None:
         self.known, self.weights = known, weights
 
-        self._weights = [float(w) for w in weights]
+    def features(self, places: np.ndarray, rows: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Quantiles of ``n`` texts and how many known words each has."""
+        grades = np.where(places < 0, -1, self.known[places])
+        seen = grades >= 0
+        counts = np.bincount(rows[seen] * GRADES + grades[seen], minlength=n * GRADES).reshape(n, GRADES)
+        return text_quantiles(counts), counts.sum(axis=1)
 
-    def features(self, words: list[str]) -> list[float] | None:
-        get = self.known.get
-        return text_quantiles([g for w in words if (g := get(w)) is not None])
+    def grade(self, features: np.ndarray) -> np.ndarray:
+        return np.clip(features @ self.weights[:-1] + self.weights[-1], 0.0, GRADES - 1e-6)
 
-    def place(self, words: list[str]) -> float | None:
-        found = self.features(words)
-        if found is None:
-            return None
-        at = self._weights[-1] + sum(x * w for x, w in zip(found, self._weights, strict=False))
-        return min(max(at, 0.0), GRADES - 1e-6)
 
+def _grader(bounds: tuple[float, float], scale: Scale | None) -> Callable:
+    """A function of a batch that gives whole grades of its texts (-1: none): by syllables, or by a scale."""
 
-def _count_words(text: DataFrame, grade_of) -> DataFrame:
-    """word, grade, n, summed within each task before anything leaves it."""
-
-    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        grade = grade_of()
-        counts: dict[int, Counter] = {}
-        for batch in batches:
-            for t in batch["text"]:
-                words = _WORD.findall(t.lower())
-                if words and (g := grade(words)) is not None:
-                    counts.setdefault(g, Counter()).update(words)
-            if sum(map(len, counts.values())) > 400_000:  # a task's memory stays bounded; the rest is summed later
-                yield _rows(counts)
-                counts = {}
-        yield _rows(counts)
+    def grades(places: np.ndarray, rows: np.ndarray, means: np.ndarray) -> np.ndarray:
+        if scale is None:
+            return np.where(np.isnan(means), -1, first_grade(np.nan_to_num(means), bounds))
+        features, n = scale.features(places, rows, len(means))
+        return np.where(n > 0, scale.grade(features).astype(np.int64), -1)
 
-    def _rows(counts: dict[int, Counter]) -> pd.DataFrame:
-        return pd.DataFrame([(w, g, n) for g, c in counts.items() for w, n in c.items()], columns=["word", "grade", "n"])
+    return grades
 
-    return text.mapInPandas(counted, "word string, grade int, n long")
 
+def _known(texts: DataFrame, bounds: tuple[float, float], scale: Scale | None) -> np.ndarray:
+    """The grade at which the words of each place are acquired, by how their uses are spread over the graded texts."""
+    shared = texts.sparkSession.sparkContext.broadcast(scale)
 
-def _graded(counted: DataFrame) -> dict[str, int]:
-    # Written once: the sums by grade and the words' grades both need it, and making it reads all texts.
-    counted = cut(counted.groupBy("word", "grade").agg(F.sum("n").alias("n")))
-    total = {r[0]: float(r[1]) for r in counted.groupBy("grade").agg(F.sum("n")).collect()}
-    rows = most_used(word_grades(counted, total), "uses", MAX_WORDS).select("word", "grade").collect()
-    return {r[0]: r[1] for r in rows}
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grades = _grader(bounds, shared.value)
+        keys, counts = np.empty(0, np.int64), np.empty(0, np.int64)
+        for batch in batches:
+            places, rows, means = _batch(batch)
+            # Words that are not plain count in a grade's total under place -1.
+            of_text = grades(places, rows, means)[rows]
+            new, n = np.unique((places.astype(np.int64) * GRADES + of_text)[of_text >= 0], return_counts=True)
+            keys, back = np.unique(np.concatenate([keys, new]), return_inverse=True)
+            counts = np.bincount(back, np.concatenate([counts, n]), len(keys)).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], ["key", "n"])
+
+    uses = texts.select("syllables", "places").where("syllables IS NOT NULL").mapInArrow(counted, "key long, n long")
+    place, grade = F.floor(F.col("key") / GRADES), F.pmod("key", F.lit(GRADES))
+    uses = cut(uses.groupBy("key").agg(F.sum("n").alias("n")).select(place.cast("int").alias("place"), grade.cast("int").alias("grade"), "n"))
+    total = {r[0]: float(r[1]) for r in uses.groupBy("grade").agg(F.sum("n")).collect()}
+    rate = [F.coalesce(F.max(F.when(F.col("grade") == g, F.col("n"))), F.lit(0)) / F.lit(max(total.get(g, 0.0), 1.0)) for g in range(GRADES)]
+    by_place = uses.where("place >= 0").groupBy("place").agg(F.sum("n").alias("uses"), *[r.alias(f"r{g}") for g, r in enumerate(rate)])
+    rates = [F.col(f"r{g}") for g in range(GRADES)]
+    whole = sum(rates[1:], rates[0])
+    found: Column = F.lit(GRADES - 1)
+    for g in range(GRADES - 2, -1, -1):
+        found = F.when(sum(rates[1 : g + 1], rates[0]) >= whole * ACQUIRED, g).otherwise(found)
+    table = by_place.where(F.col("uses") >= LEAST_USES).select("place", found.cast("tinyint").alias("grade")).toArrow()
+    out = np.full(PLACES, -1, np.int8)
+    out[table.column("place").to_numpy()] = table.column("grade").to_numpy()
+    return out
 
 
-def _calibrate(text: DataFrame, known, place_of) -> np.ndarray:
+def _calibrated(texts: DataFrame, known: np.ndarray, bounds: tuple[float, float], scale: Scale | None) -> np.ndarray:
     """Least-squares weights from quantiles to the present grades, from sums that each task makes over all texts."""
     size = len(QUANTILES) + 1
+    shared = texts.sparkSession.sparkContext.broadcast((known, scale))
 
-    def summed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        scale, place = Scale(known.value, np.zeros(size)), place_of()
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fresh, grades = Scale(shared.value[0], np.zeros(size)), _grader(bounds, shared.value[1])
         # Each of the three levels counts alike, as their shares of the corpus differ.
-        sums: dict[int, np.ndarray] = {}
+        sums = np.zeros((3, size + 1, size + 1))
         for batch in batches:
-            for t in batch["text"]:
-                words = _WORD.findall(t.lower())
-                x = scale.features(words)
-                y = place(words) if x is not None else None
-                if y is not None:
-                    row = np.array([*x, 1.0, y + 0.5])
-                    level = min(2, int(y * 3 / GRADES))
-                    sums[level] = sums.get(level, np.zeros((size + 1, size + 1))) + np.outer(row, row)
-        yield pd.DataFrame([(k, v.ravel().tolist()) for k, v in sums.items()], columns=["level", "s"])
-
-    total = np.zeros((3, (size + 1) ** 2))
-    parts = text.mapInPandas(summed, "level int, s array<double>").select("level", F.posexplode("s").alias("i", "x"))
-    for level, i, x in parts.groupBy("level", "i").agg(F.sum("x")).collect():  # three small matrices
-        total[level, i] = x
+            places, rows, means = _batch(batch)
+            features, n = fresh.features(places, rows, len(means))
+            y = grades(places, rows, means)
+            use = (n > 0) & (y >= 0)
+            x = np.column_stack([features, np.ones(len(y)), y + 0.5])[use]
+            for level in range(3):
+                own = x[np.minimum(2, y[use] * 3 // GRADES) == level]
+                sums[level] += own.T @ own
+        flat = sums.ravel()
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat), dtype=np.int32)), pa.array(flat)], ["i", "x"])
+
+    total = np.zeros(3 * (size + 1) ** 2)
+    parts = texts.select("syllables", "places").where("syllables IS NOT NULL").mapInArrow(summed, "i int, x double")
+    for i, x in parts.groupBy("i").agg(F.sum("x")).collect():  # three small matrices
+        total[i] = x
     total = total.reshape(3, size + 1, size + 1)
     joint = sum((t / t[size - 1, size - 1] for t in total if t[size - 1, size - 1] > 0), np.zeros((size + 1, size + 1)))
     return np.linalg.solve(joint[:size, :size] + 1e-3 * np.eye(size), joint[:size, size])
 
 
-def fit_scale(text: DataFrame) -> Scale:
-    """A scale from a column ``text`` of all documents, graded at first by the syllables of their words.
+def fit_scale(texts: DataFrame, bounds: tuple[float, float] = SYLLABLE_BOUNDS) -> Scale:
+    """A scale from all ``tokenised`` texts, graded at first by the syllables of their words (``bounds``: mean syllables at which one
+    level passes into the next).
 
     The grade at which a word is acquired comes from how its uses are spread over the graded texts; quantiles of the
     grades of a text's words then grade the text anew, and the words are graded a second time from that. Counts cover
     all texts and are summed in the tasks before anything is shuffled.
     """
-    sc = text.sparkSession.sparkContext
-
-    def by_syllables():
-        memo: dict[str, int] = {}
-        return lambda words: first_grade(words, memo)
-
-    known = _graded(_count_words(text, by_syllables))
-    shared = sc.broadcast(known)
-    weights = _calibrate(text, shared, by_syllables)
-
-    def by_words():
-        scale = Scale(shared.value, weights)
-        return lambda words: None if (p := scale.place(words)) is None else int(p)
-
-    again = sc.broadcast(_graded(_count_words(text, by_words)))
-    return Scale(again.value, _calibrate(text, again, by_words))
+    known = _known(texts, bounds, None)
+    scale = Scale(known, _calibrated(texts, known, bounds, None))
+    again = _known(texts, bounds, scale)
+    return Scale(again, _calibrated(texts, again, bounds, scale))
 
 
 def reading_levels(
@@ -205,26 +222,28 @@ def reading_levels(
     Edge cases: null and empty texts have 0 words and no level; rows delivered twice (same id) give one row; unknown
     words, numbers and damaged words do not count; equal texts get equal levels; extra columns are ignored.
     """
-    key_type = df.schema[id_column].dataType.simpleString()
-    narrow = df.select(F.col(id_column).alias("id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
-    fitted = scale or fit_scale(narrow.where(F.length("text") > 0).select("text"))
-    shared = df.sparkSession.sparkContext.broadcast((fitted.known, fitted.weights))
+    texts = tokenised(df.select(F.col(id_column).alias("id"), F.coalesce(F.col(text_column), F.lit("")).alias("text")))
+    shared = df.sparkSession.sparkContext.broadcast(scale or fit_scale(texts))
 
-    def levelled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        scale = Scale(*shared.value)
+    def levelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for key, t in zip(batch["id"], batch["text"], strict=True):
-                n = len(re.split(r"[ \t\r\n]+", t.strip(" \t\r\n"))) if t.strip(" \t\r\n") else 0
-                words = _WORD.findall(t.lower())
-                place = scale.place(words)
-                share = sum(w in scale.known for w in words) / len(words) if words else None
-                level = LEVELS[min(2, int(place * 3 / GRADES))] if place is not None and n >= least_words else None
-                rows.append((key, n, share, place, level))
-            yield pd.DataFrame(rows, columns=["id", "n_words", "known_share", "grade", "level"])
+            places, rows, means = _batch(batch)
+            features, known = shared.value.features(places, rows, len(means))
+            grade, n_words = shared.value.grade(features), batch.column(1).to_numpy()
+            size = np.bincount(rows, minlength=len(means))
+            level = np.array(LEVELS)[np.minimum(2, (grade * 3 / GRADES).astype(int))]
+            columns = [
+                batch.column(0),
+                batch.column(1),
+                pa.array(known / np.maximum(size, 1), mask=size == 0),
+                pa.array(grade, mask=known == 0),
+                pa.array(level, pa.string(), mask=(known == 0) | (n_words < least_words)),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "n_words", "known_share", "grade", "level"])
 
+    key_type = df.schema[id_column].dataType.simpleString()
     schema = f"id {key_type}, n_words int, known_share double, grade double, level string"
-    return narrow.mapInPandas(levelled, schema).dropDuplicates(["id"])
+    return texts.mapInArrow(levelled, schema).dropDuplicates(["id"])
 
 
 def level_profile(levels: DataFrame, subjects: DataFrame, id_column: str = "id", subject_column: str = "subject") -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corvina.operators.ranking import bounded_sample
+from corvina.operators.skew import meet
 from corvina.session import cut
 
 #: Coordinates of a curve and bits per coordinate; together they fit in a long.
@@ -25,10 +26,15 @@ CROWD_SHARE = 8
 COVER, COVER_SAMPLE = 0.8, 4096
 #: Vectors of a crowd (and as many others) that a task compares at once.
 CROWD_BLOCK = 8192
+#: Vectors with several copies that are broadcast at most, each with its smallest ids.
+MAX_BROADCAST = 20_000
 
 
 def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
-    """The position on the Hilbert curve of each row of non-negative integer cells, by Gray-code transposition."""
+    """The position on the Hilbert curve of each row of non-negative integer cells.
+
+    By the transposition of Gray codes published by J. Skilling, "Programming the Hilbert curve", 2004.
+    """
     x = cells.astype(np.int64).T.copy()
     n = len(x)
     q = 1 << (bits - 1)
@@ -288,7 +294,7 @@ def nearest_vectors(
     A vector that has an eighth of ``window`` similar ones on any curve stands in a crowd and is compared with all
     vectors that can be similar to it instead (see ``_among_crowds``), so the work follows the density.
     Outside crowds the search is approximate: neighbours that are never within the window on any curve are missed (the tests
-    hold the recall against brute force). Copies are exact: a copy beyond the first ``k + 1`` takes the ``k`` smallest ids.
+    hold the recall against brute force). Windows end at the edges of a task's range, which differ from curve to curve. Copies are exact: a copy beyond the first ``k + 1`` takes the ``k`` smallest ids.
 
     Edge cases: null, short, zero and non-finite vectors are left out; rows delivered twice (same id and vector) count
     once; empty input gives no rows; extra columns are ignored.
@@ -379,11 +385,11 @@ def nearest_vectors(
             yield from found(curve, unit, ids, digests, fresh)
 
     least_crowd = max(k + 1, window // CROWD_SHARE)
-    parts = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = unique.mapInArrow(along_curves, f"curve int, key long, vec binary, ids array<{key_type}>")
+    # Without a number the ranges are joined where they are small, so a task has many windows even with very many partitions.
+    ranged = placed.repartitionByRange(partitions, "curve", "key") if partitions else placed.repartitionByRange("curve", "key")
     lists = (
-        unique.mapInArrow(along_curves, f"curve int, key long, vec binary, ids array<{key_type}>")
-        .repartitionByRange(parts, "curve", "key")
-        .sortWithinPartitions("curve", "key")
+        ranged.sortWithinPartitions("curve", "key")
         .mapInArrow(compared, f"id {key_type}, to array<{key_type}>, sims array<double>, crowded boolean, ids array<{key_type}>, d string")
     )
 
@@ -411,7 +417,12 @@ def nearest_vectors(
     )
     # Copies beyond the smallest k + 1 ids: digests stand for the vectors, so what is shuffled is narrow.
     many = heads.where(F.col("d").isNotNull()).select("d", "ids")
-    late = vectors.select("id", F.md5("vec").alias("d")).join(many, "d").where(~F.array_contains("ids", F.col("id")))
+    rows = vectors.select("id", F.md5("vec").alias("d"))
+    if many.count() <= MAX_BROADCAST:
+        met = rows.join(F.broadcast(many), "d")
+    else:  # a vector that very many rows share still meets them in a broadcast
+        met = meet(cut(rows), many, "d")
+    late = met.where(~F.array_contains("ids", F.col("id")))
     rest = late.select("id", F.posexplode(F.slice("ids", 1, k)).alias("p", "neighbour")).select(
         "id", "neighbour", F.lit(1.0).alias("similarity"), (F.col("p") + 1).alias("place")
     )

@@ -35,13 +35,13 @@ def test_chains_invert(codes, chain):
         wrong = encoding.garble(text, chain)
         assert encoding.invert(wrong, chain) == text
         found = codes.repair(wrong)
-        assert found is not None and found[2] == text, (chain, wrong, found)
+        assert found is not None and found[3] == text, (chain, wrong, found)
 
 
 def test_one_damaged_place(codes):
     text = SENTENCES[0] + " " + SENTENCES[2]
     wrong = text.replace("relatório", encoding.garble("relatório", "utf8>cp1252"))
-    assert codes.repair(wrong)[1:] == (1, text)
+    assert codes.repair(wrong)[1:] == (1, 0, text)
 
 
 @pytest.mark.parametrize("text", [*SENTENCES, "", "NÃO É PERMITIDO", "ASCII only? Yes.", "um mundo n0vo", "o que é isso???", "½ × π", "niños, façade, naïve"])
@@ -50,16 +50,16 @@ def test_undamaged(codes, text):
 
 
 def test_lost_letters(codes):
-    assert codes.repair("A produ��o de caf� aumentou")[::2] == ("lost", "A produção de café aumentou")
+    assert codes.repair("A produ��o de caf� aumentou") == ("lost", 2, 2, "A produção de café aumentou")
     assert codes.repair("A produ??o de caf? aumentou")[0] == "lost"
-    assert codes.repair("xyz�w")[::2] == ("lost", None)
+    assert codes.repair("xyz�w") == ("lost", 1, 1, None)
 
 
 def test_dropped_invisible_characters(codes):
     wrong = encoding.garble("famílias", "utf8>cp1252").replace("\xad", "")
-    assert codes.repair(f"as {wrong} estÃ£o")[2] == "as famílias estão"
+    assert codes.repair(f"as {wrong} estÃ£o")[3] == "as famílias estão"
     bare = encoding.garble("Às vezes não há exceção à regra.", "utf8>latin1")
-    assert codes.repair("".join(c for c in bare if not "\x80" <= c < "\xa0").replace("\xa0", " "))[2] == "Às vezes não há exceção à regra."
+    assert codes.repair("".join(c for c in bare if not "\x80" <= c < "\xa0").replace("\xa0", " "))[3] == "Às vezes não há exceção à regra."
 
 
 def test_encoding_frame(spark, codes):
@@ -75,7 +75,7 @@ def test_many_dropped_characters_in_a_word():
     codes = encoding.fit([*SENTENCES * 5, "INFORMAÇÕES", "Leia as informações."])
     bare = "".join(c for c in encoding.garble("INFORMAÇÕES", "utf8>latin1>latin1") if not "\x80" <= c < "\xa0")
     assert bare == "INFORMAÃÂÃÂES"
-    assert codes.repair(f"LEIA AS {bare} ABAIXO")[2] == "LEIA AS INFORMAÇÕES ABAIXO"
+    assert codes.repair(f"LEIA AS {bare} ABAIXO")[3] == "LEIA AS INFORMAÇÕES ABAIXO"
 
 
 def test_words_outside_the_sample(spark):
@@ -99,7 +99,7 @@ PROSE = "O governo anunciou uma nova medida para o setor de energia elétrica. A
 @pytest.fixture(scope="module")
 def pages(spark):
     rows = [x for i in range(60) for x in (PROSE, f"O governo anunciou uma nova\nCN - 1º dia | Caderno {i} - AZUL - Página {i}\nmedida para o setor.")]
-    rows += ["O govern0 e a mcdida", "uma nova medicla para o setor", "uma nova mcdida."]
+    rows += ["O govern0 e a mcdida", "uma nova meclida para o setor", "uma nova mcdida."]
     return scans.learn(spark.createDataFrame([(t,) for t in rows], "text string"))
 
 
@@ -165,10 +165,15 @@ def test_levels_empty(spark):
 
 
 def test_quantiles():
-    for n in (1, 2, 5, 80):
-        grades = np.random.default_rng(n).integers(0, 12, n).tolist()
-        assert np.allclose(levels.text_quantiles(grades), np.quantile(grades, levels.QUANTILES))
-    assert levels.text_quantiles([]) is None
+    rng = np.random.default_rng(1)
+    grades = [rng.integers(0, 12, n).tolist() for n in (1, 2, 5, 80)]
+    counts = np.array([np.bincount(g, minlength=12) for g in grades])
+    assert np.allclose(levels.text_quantiles(counts), [np.quantile(g, levels.QUANTILES) for g in grades])
+
+
+def test_first_grades():
+    low, high = levels.SYLLABLE_BOUNDS
+    assert levels.first_grade(np.array([0.5, low - 0.01, low, high - 0.01, high, 9.0])).tolist() == [0, 3, 4, 7, 8, 11]
 
 
 # ---------------------------------------------------------------- languages
