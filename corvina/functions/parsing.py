@@ -50,6 +50,17 @@ def filename_metadata(c: str | Column) -> Column:
     )
 
 
+def file_kind(c: str | Column) -> Column:
+    """'key' or 'booklet' by the mark in a file's name; null for other files."""
+    return F.when(F.contains(_col(c), F.lit("_GB_")), "key").when(F.contains(_col(c), F.lit("_PV_")), "booklet")
+
+
+def scanned_files(pages: DataFrame, file: str, text: str, least: int = 50) -> DataFrame:
+    """Per file: n_pages, and whether any page has fewer than ``least`` characters, as scanned pages have."""
+    few = F.length(F.coalesce(F.col(text), F.lit(""))) < least
+    return pages.groupBy(file).agg(F.count(F.lit(1)).alias("n_pages"), F.coalesce(F.bool_or(few), F.lit(False)).alias("scanned"))
+
+
 def area_of_number(c: str | Column) -> Column:
     """The knowledge area of a question number, in four ranges of 45; the first one for all others."""
     n = _col(c)
@@ -130,7 +141,7 @@ def question_hints(c: str | Column) -> Column:
     headings = F.transform(F.regexp_extract_all(text, F.lit(r"(?iu)quest[ãa]o\s*(\d+)"), F.lit(1)), lambda n: hint("heading", n, 0.9))
     letters = F.regexp_count(text, F.lit(r"\b[A-E]\s*\)"))
     orphans = F.when(letters >= 3, F.array(hint("options", F.lit(None), 0.6))).otherwise(F.array().cast("array<struct<method:string,number:int,confidence:double>>"))
-    loose = F.filter(F.transform(F.regexp_extract_all(text, F.lit(r"\b(\d{1,3})\b"), F.lit(1)), lambda n: n.cast("int")), lambda n: n.between(1, 180))
+    loose = F.filter(F.transform(F.regexp_extract_all(text, F.lit(r"(?<![\p{L}\p{N}_])(\d{1,3})(?![\p{L}\p{N}_])"), F.lit(1)), lambda n: n.cast("int")), lambda n: n.between(1, 180))
     return F.concat(headings, orphans, F.transform(loose, lambda n: hint("number", n, 0.3)))
 
 

@@ -156,6 +156,17 @@ def garble_ratio(c: str | Column) -> Column:
     return F.when(F.length(text) == 0, 0.0).otherwise(marks / F.length(text))
 
 
+#: Fixed value: control characters and the replacement character.
+BAD_CHARACTER = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x80-\x9f\x{fffd}]"
+
+
+def garbled_whole(c: str | Column, most: float = 0.05) -> Column:
+    """Struct (ratio of bad characters, each counted; whether it is above ``most``), for whole documents; 0 for null and empty text."""
+    text = F.coalesce(_col(c), F.lit(""))
+    ratio = F.regexp_count(text, F.lit(BAD_CHARACTER)) / F.greatest(F.lit(1), F.length(text))
+    return F.struct(ratio.alias("ratio"), (ratio > most).alias("garbled"))
+
+
 def is_contaminated(c: str | Column) -> Column:
     """Whether any contamination is found; false for null text."""
     text = F.coalesce(_col(c), F.lit(""))
@@ -181,7 +192,7 @@ def is_repetitive(c: str | Column, least_chars: int = 100, least_words: int = 10
 
 def plain_words(c: str | Column) -> Column:
     """Lower case, only letters, digits, underscores and single blanks."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(_col(c)), r"(?U)[^\w\s]", " "), r"(?U)\s+", " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(_col(c)), r"(?U)[^\w\p{N}\s]", " "), r"(?U)\s+", " "))
 
 
 def tokens(c: str | Column) -> Column:

@@ -123,31 +123,53 @@ def cluster_texts(df: DataFrame, id_column: str, text: str, k: int = 5, vocabula
     return assigned, df.sparkSession.createDataFrame(tops, "cluster int, top_terms array<string>").join(sizes, "cluster", "left").fillna(0, ["size"])
 
 
-def train_classifier(df: DataFrame, label: str, text: str, kind: str = "nb", vocabulary: int = 5000, folds: int | None = None, seed: int = 42):
-    """A fitted pipeline from text to label: 'nb' naive Bayes, 'svm' linear machines one against the rest, 'rf' random forest.
+def split_rows(df: DataFrame, id_column: str, test_share: float = 0.2) -> tuple[DataFrame, DataFrame]:
+    """(training, test) rows by a hash of the id, so every label is split in about the same proportion, and the same in every run."""
+    u = F.pmod(F.xxhash64(F.col(id_column).cast("string")), F.lit(10_000))
+    test = u < int(test_share * 10_000)
+    return df.where(~test), df.where(test)
 
-    With ``folds`` the main parameter is chosen by cross-validation. Save it with ``model.write().save(path)``.
+
+def train_classifier(
+    df: DataFrame, label: str, text: str, kind: str = "nb", vocabulary: int = 5000, folds: int | None = None, seed: int = 42, pairs: bool = False, balanced: bool = False
+):
+    """A fitted pipeline from text to label: 'nb' naive Bayes, 'svm' linear machines one against the rest, 'rf' random forest,
+    'gbt' boosted trees (two labels only).
+
+    With ``pairs`` pairs of neighbouring words are terms, too; with ``balanced`` every label has the same weight in all. With ``folds`` the
+    main parameter is chosen by cross-validation. ``save_model`` and ``load_model`` keep the pipeline.
     """
     from pyspark.ml import Pipeline
-    from pyspark.ml.classification import LinearSVC, NaiveBayes, OneVsRest, RandomForestClassifier
+    from pyspark.ml.classification import GBTClassifier, LinearSVC, NaiveBayes, OneVsRest, RandomForestClassifier
     from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-    from pyspark.ml.feature import IDF, CountVectorizer, StringIndexer
+    from pyspark.ml.feature import IDF, CountVectorizer, SQLTransformer, StringIndexer
     from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 
     data = df.select(F.col(label).alias("label_text"), tokens(text).alias("words")).where(F.col("label_text").isNotNull() & (F.size("words") > 0))
+    weight = {}
+    if balanced:
+        sizes = data.groupBy("label_text").agg(F.count(F.lit(1)).alias("_n"))
+        weights = sizes.select("label_text", (sizes.agg(F.avg("_n")).scalar() / F.col("_n")).alias("weight"))
+        data, weight = data.join(weights, "label_text"), {"weightCol": "weight"}
+    common = {"labelCol": "label", "featuresCol": "features", **weight}
     if kind == "nb":
-        last = NaiveBayes(smoothing=1.0, labelCol="label", featuresCol="features")
+        last = NaiveBayes(smoothing=1.0, **common)
         grid = ParamGridBuilder().addGrid(last.smoothing, [0.1, 1.0]).build()
     elif kind == "svm":
         inner = LinearSVC(maxIter=20)
-        last = OneVsRest(classifier=inner, labelCol="label", featuresCol="features")
+        last = OneVsRest(classifier=inner, **common)
         grid = ParamGridBuilder().addGrid(inner.regParam, [0.0, 0.1]).build()
+    elif kind == "gbt":
+        last = GBTClassifier(maxIter=20, seed=seed, **common)
+        grid = ParamGridBuilder().addGrid(last.maxDepth, [3, 5]).build()
     else:
-        last = RandomForestClassifier(numTrees=100, maxDepth=10, seed=seed, labelCol="label", featuresCol="features")
+        last = RandomForestClassifier(numTrees=100, maxDepth=10, seed=seed, **common)
         grid = ParamGridBuilder().addGrid(last.maxDepth, [5, 10]).build()
+    both = "concat(words, transform(sequence(1, greatest(size(words) - 1, 1)), i -> concat_ws(' ', slice(words, i, 2))))"
     steps = [
         StringIndexer(inputCol="label_text", outputCol="label", handleInvalid="keep", stringOrderType="frequencyDesc"),
-        CountVectorizer(inputCol="words", outputCol="tf", vocabSize=vocabulary),
+        SQLTransformer(statement=f"SELECT *, {both if pairs else 'words'} AS terms FROM __THIS__"),
+        CountVectorizer(inputCol="terms", outputCol="tf", vocabSize=vocabulary),
         IDF(inputCol="tf", outputCol="features"),
         last,
     ]
@@ -158,12 +180,66 @@ def train_classifier(df: DataFrame, label: str, text: str, kind: str = "nb", voc
     return pipeline.fit(data)
 
 
+def _stage(model, kind: type):
+    return next(s for s in model.stages if isinstance(s, kind))
+
+
 def predict_labels(df: DataFrame, model, id_column: str, text: str) -> DataFrame:
-    """(id, predicted) with the label's text."""
-    from pyspark.ml.feature import IndexToString
-
-    bags = df.select(F.col(id_column).alias("id"), F.lit(None).cast("string").alias("label_text"), tokens(text).alias("words"))
-    scored = bags
-    for stage in model.stages[1:]:
-        scored = stage.transform(scored)
-    return IndexToString(inputCol="prediction", outputCol="predicted", labels=[*model.stages[0].labels, "?"]).transform(scored).select("id", "predicted")
+    """(id, predicted, probabilities): the label's text, and a map of each label to its probability (null for kinds without any)."""
+    from pyspark.ml.feature import IndexToString, StringIndexerModel
+    from pyspark.ml.functions import vector_to_array
+
+    names = _stage(model, StringIndexerModel)
+    scored = df.select(F.col(id_column).alias("id"), F.lit(None).cast("string").alias("label_text"), tokens(text).alias("words"))
+    for stage in model.stages:
+        scored = scored if stage is names else stage.transform(scored)
+    if "probability" in scored.columns:
+        labels = F.array(*[F.lit(x) for x in [*names.labels, "?"]])
+        values = vector_to_array("probability")
+        chances = F.map_from_arrays(F.slice(labels, F.lit(1), F.size(values)), values)
+    else:
+        chances = F.lit(None).cast("map<string,double>")
+    named = IndexToString(inputCol="prediction", outputCol="predicted", labels=[*names.labels, "?"]).transform(scored)
+    return named.select("id", "predicted", chances.alias("probabilities"))
+
+
+def term_importances(model, spark, k: int = 20) -> DataFrame:
+    """(term, importance) of the ``k`` terms that a forest or boosted trees use most (ties: alphabetical)."""
+    from pyspark.ml.feature import CountVectorizerModel
+
+    weights = model.stages[-1].featureImportances
+    words = _stage(model, CountVectorizerModel).vocabulary
+    pairs = sorted(((words[int(i)], float(x)) for i, x in zip(weights.indices, weights.values, strict=True)), key=lambda p: (-p[1], p[0]))
+    return spark.createDataFrame(pairs[:k], "term string, importance double")
+
+
+def save_model(model, path: str) -> None:
+    model.write().overwrite().save(path)
+
+
+def load_model(path: str):
+    from pyspark.ml import PipelineModel
+
+    return PipelineModel.load(path)
+
+
+def golden_metrics(extracted: DataFrame, golden: DataFrame, keys: Sequence[str], text: str, group: str, *exact: str) -> DataFrame:
+    """Extracted texts against a golden set, per value of the golden side's ``group``.
+
+    Result: group, n_golden, n_found, completeness (found of golden), error_rate (mean edit distance per golden character of those
+    found, at most 1 each; an empty golden text has 0 if the other is empty as well, else 1), and the accuracy of each ``exact`` column.
+    Keys must be unique on either side.
+    """
+    left = golden.select(*keys, F.col(group).alias("_group"), F.coalesce(text, F.lit("")).alias("_want"), *[F.col(c).alias(f"_g_{c}") for c in exact])
+    right = extracted.select(*keys, F.coalesce(text, F.lit("")).alias("_got"), *[F.col(c).alias(f"_e_{c}") for c in exact], F.lit(True).alias("_there"))
+    both = left.join(right, list(keys), "left")
+    size = F.length("_want")
+    rate = F.when(size == 0, F.when(F.col("_got") == "", 0.0).otherwise(1.0)).otherwise(F.least(F.lit(1.0), F.levenshtein("_got", "_want") / size))
+    found = F.coalesce("_there", F.lit(False))
+    return both.groupBy(F.col("_group").alias(group)).agg(
+        F.count(F.lit(1)).alias("n_golden"),
+        F.count_if(found).alias("n_found"),
+        F.avg(found.cast("double")).alias("completeness"),
+        F.avg(F.when(found, rate)).alias("error_rate"),
+        *[F.avg(F.when(found, F.col(f"_g_{c}").eqNullSafe(F.col(f"_e_{c}")).cast("double"))).alias(f"{c}_accuracy") for c in exact],
+    )

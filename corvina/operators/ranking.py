@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from corvina.session import cut
+
 
 def share_of_total(df: DataFrame, *keys: str, digits: int = 2) -> DataFrame:
     """Rows per group and their share of all rows in percent."""
@@ -35,6 +37,11 @@ def first_of(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> Dat
     return ranked.where("_r = 1").drop("_r")
 
 
+def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str) -> DataFrame:
+    """Rows of each group numbered from 1 in order."""
+    return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+
+
 def falling(df: DataFrame, column: str) -> Column:
     """An expression that is larger for smaller values of an integer or string column, for use inside a maximum."""
     c = F.col(column)
@@ -98,27 +105,23 @@ def overlapping_boxes(left: DataFrame, right: DataFrame, page_column: str, cell:
 
 
 def running_budget(df: DataFrame, order: Sequence[Column], cost: str, budget: float, keys: Sequence[str] = ()) -> DataFrame:
-    """Rows in order within each group as long as the running cost stays within the budget."""
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("spent", F.sum(cost).over(w)).where(F.col("spent") <= budget)
-
-
-# ---------------------------------------------------------------- bounded parts of unbounded tables
+    """Rows in order within each group as long as the running cost stays within the budget.
 
+    Without keys the rows are sorted into ranges, written once, and summed within each range; the sums of the ranges before
+    it are added, so no task gets the whole table.
+    """
+    if keys:
+        w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        return df.withColumn("spent", F.sum(cost).over(w)).where(F.col("spent") <= budget)
+    ranged = cut(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    upto = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    before = ranged.groupBy("_range").agg(F.sum(cost).alias("_t")).select("_range", F.coalesce(F.sum("_t").over(earlier), F.lit(0)).alias("_before"))  # a row per range
+    summed = ranged.withColumn("spent", F.sum(cost).over(upto)).join(F.broadcast(before), "_range")
+    return summed.withColumn("spent", F.col("spent") + F.col("_before")).where(F.col("spent") <= budget).drop("_range", "_before")
 
-def most_used(df: DataFrame, n: str, bound: int) -> DataFrame:
-    """Rows of the largest counts ``n`` (positive), at most ``bound`` of them.
 
-    Classes of counts that differ by less than a tenth stay together: those are kept that fit within the bound. Only a
-    histogram of some hundred classes reaches the driver, whereas a sorted limit would send ``bound`` rows of every task.
-    """
-    kind = F.floor(F.log2(F.col(n).cast("double")) * 8)
-    total, least = 0, None
-    for row in sorted(df.groupBy(kind.alias("k")).agg(F.count(F.lit(1)).alias("m")).collect(), key=lambda r: -r.k):
-        if total + row.m > bound:
-            return df.where(F.lit(False)) if least is None else df.where(kind >= least)
-        total, least = total + row.m, row.k
-    return df
+# ---------------------------------------------------------------- bounded parts of unbounded tables
 
 
 def bounded_sample(df: DataFrame, id_column: str, bound: int, total: int | None = None) -> DataFrame:
@@ -138,15 +141,22 @@ def bounded_sample(df: DataFrame, id_column: str, bound: int, total: int | None
 # ---------------------------------------------------------------- sinks as state transitions
 
 
+def known_by(rows: DataFrame, others: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
+    """``rows`` joined with the distinct keys of ``others``, null being equal to null: 'left_anti', 'left_semi', or 'left' with the
+    column ``_known`` (true or null)."""
+    theirs = others.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).distinct().withColumn("_known", F.lit(True))
+    same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+    return rows.join(theirs, same, how).drop(*[f"_k{i}" for i in range(len(keys))])
+
+
 def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str], version: Sequence[Column]) -> DataFrame:
     """The state after ``new`` rows replaced ``old`` ones of the same keys; of several new rows the first by ``version`` counts.
 
-    ``is_new`` tells whether the key was not there before.
+    ``is_new`` tells whether the key was not there before. A null key is a key like others, equal to itself.
     """
     fresh = first_of(new, keys, version)
-    kept = old.join(fresh.select(*keys), list(keys), "left_anti").withColumn("is_new", F.lit(False))
-    known = old.select(*keys).distinct().withColumn("_known", F.lit(True))
-    added = fresh.join(known, list(keys), "left").withColumn("is_new", F.col("_known").isNull()).drop("_known")
+    kept = known_by(old, fresh, keys, "left_anti").withColumn("is_new", F.lit(False))
+    added = known_by(fresh, old, keys, "left").withColumn("is_new", F.col("_known").isNull()).drop("_known")
     return kept.unionByName(added)
 
 
@@ -157,8 +167,26 @@ def keep_best(old: DataFrame, new: DataFrame, keys: Sequence[str], score: str) -
 
 
 def append_once(old: DataFrame, new: DataFrame, key: str, order: Sequence[Column]) -> DataFrame:
-    """New rows whose key is not there yet, one per key: what an idempotent append writes."""
-    return first_of(new.join(old.select(key), key, "left_anti"), [key], order)
+    """New rows whose key is not there yet, one per key (null is a key, too): what an idempotent append writes."""
+    return first_of(known_by(new, old, [key], "left_anti"), [key], order)
+
+
+def accept_better(old: DataFrame, new: DataFrame, key: str, score: str, least: float = 0.85) -> DataFrame:
+    """For each row of ``new`` what becomes of a second attempt: ``persist`` if its score is above the old one and at least
+    ``least``, else ``dead_letter``. Result: key, old_score, new_score, decision. Nothing known before counts as 0."""
+    before = old.groupBy(key).agg(F.max(score).alias("old_score"))
+    after = new.groupBy(key).agg(F.max(score).alias("new_score"))
+    better = (F.col("new_score") > F.coalesce("old_score", F.lit(0.0))) & (F.col("new_score") >= least)
+    return after.join(before, key, "left").select(key, "old_score", "new_score", F.when(better, "persist").otherwise("dead_letter").alias("decision"))
+
+
+def enqueue(failed: DataFrame, text: str, options: str, key: Sequence[str], queue: DataFrame | None = None) -> DataFrame:
+    """Rows for a queue of dead letters: the columns of ``failed`` but text and options, raw_text (the text and each option on a line
+    of its own; null parts are left out), status 'pending'. Rows whose ``key`` is in ``queue`` already are left out; repeated keys give one row."""
+    raw = F.concat_ws("\n", F.col(text), F.array_join(options, "\n"))
+    rows = failed.withColumn("raw_text", raw).withColumn("status", F.lit("pending")).drop(*({text, options} - {"raw_text"}))
+    rows = first_of(rows, key, [F.col("raw_text")])
+    return known_by(rows, queue, key, "left_anti") if queue is not None else rows
 
 
 def mark_done(df: DataFrame, done: DataFrame, key: str, status: str, before: str, after: str) -> DataFrame:

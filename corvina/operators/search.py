@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corvina.functions.text import tokens
-from corvina.operators.ranking import falling
+from corvina.operators.ranking import falling, page
+from corvina.operators.skew import meet
+from corvina.session import cut
 
 #: The constant of reciprocal rank fusion.
 RRF_K = 60
@@ -66,6 +68,27 @@ def text_top_k(df: DataFrame, id_column: str, text: str, terms: Sequence[str], k
     return text_scores(df, text, terms).orderBy(F.desc("text_score"), id_column).limit(k)
 
 
+def filtered_vectors(
+    df: DataFrame, query: Sequence[float], k: int, id_column: str = "id", vector: str = "embedding", one_per: str | None = "question_id",
+    chunk_type: str | None = None, subject: str | None = None, year: int | None = None,
+) -> DataFrame:
+    """The ``k`` rows most similar to the query among those of a chunk type, subject (without regard to case) and year, one per
+    value of ``one_per``; filters that are null do not apply. All filters come before the top rows, so none costs results."""
+    wanted = df.where(F.col(vector).isNotNull())
+    if chunk_type is not None:
+        wanted = wanted.where(F.col("chunk_type") == chunk_type)
+    if subject is not None:
+        wanted = wanted.where(F.lower("subject") == subject.lower())
+    if year is not None:
+        wanted = wanted.where(F.col("year") == year)
+    return vector_top_k(wanted, id_column, vector, query, k, one_per=one_per)
+
+
+def text_page(df: DataFrame, id_column: str, text: str, terms: Sequence[str], year: str, number: int, size: int) -> DataFrame:
+    """One page of the rows that hold every term, best first (ties: latest year, then smallest id), each with ``total_rows``."""
+    return page(text_scores(df, text, terms), [F.desc("text_score"), F.desc_nulls_last(year), F.col(id_column)], number, size)
+
+
 def fuse(left: DataFrame, right: DataFrame, id_column: str, pool: int, k: int) -> DataFrame:
     """Reciprocal rank fusion of two ranked lists (id, rank from 1) of at most ``pool`` rows.
 
@@ -108,6 +131,11 @@ def pick_with_keys(ranked_rows: DataFrame, keys: DataFrame, on: Sequence[str], o
     return chosen.join(keys.withColumn("answered", F.lit(True)), list(on), "left").fillna(False, ["answered"])
 
 
+def missing_numbers(picked: DataFrame) -> DataFrame:
+    """One row on a selection of ``pick_with_keys``: n_selected, missing_answers (the order numbers without a key)."""
+    return picked.agg(F.count(F.lit(1)).alias("n_selected"), F.array_sort(F.collect_list(F.when(~F.col("answered"), F.col("order_no")))).alias("missing_answers"))
+
+
 def require_rows(df: DataFrame, n: int) -> DataFrame:
     """``df`` if it has at least ``n`` rows, else an error when it runs."""
     enough = df.agg(F.count(F.lit(1)) >= n).scalar()
@@ -119,32 +147,36 @@ def require_rows(df: DataFrame, n: int) -> DataFrame:
 
 #: Sets of up to so many words are compared by pairs of rare words, larger ones by single rare words.
 PAIRED_WORDS = 400
+#: So many of the most used words count as the least rare ones; all others are ordered by their hash.
+COMMON_WORDS = 256
+
+
+def _bags(df: DataFrame, id_column: str, text: str) -> DataFrame:
+    """(id, words, digest): the distinct words of each text as sorted hashes, and a digest of the set; texts without words are left out."""
+    words = F.array_sort(F.transform(F.array_distinct(tokens(text)), lambda w: F.xxhash64(w)))
+    bags = df.select(F.col(id_column).alias("id"), words.alias("words")).where(F.size("words") > 0)
+    return bags.withColumn("digest", F.md5(F.array_join(F.transform("words", lambda h: h.cast("string")), " ")))
 
 
 def word_set_classes(df: DataFrame, id_column: str, text: str, least: float = 0.8) -> DataFrame:
     """Pairs of different word sets with a Jaccard similarity of at least ``least`` (0.5 or more).
 
     Result: id_a, id_b (id_a < id_b, the smallest ids of their word sets), similarity. Texts with equal word sets are
-    one representative (``word_set_members`` has the membership). Candidates come from an exact prefix filter: with the
-    words of each set in order of rarity, two similar sets share at least m of the first (1 - least) * size + m words. Sets
-    meet on pairs of such words (m = 2), which are far rarer than words; above ``PAIRED_WORDS`` words, where there
-    would be many pairs, on single ones. Sets near that bound take part in both, so no pair is lost.
+    one representative (``word_set_members`` has the membership). Texts are cut into words once; from then on a word is its
+    64-bit hash and a set its digest. Candidates come from an exact prefix filter, which holds for any one order of words:
+    here by hash, the ``COMMON_WORDS`` most used ones last. Two similar sets share at least m of the first
+    (1 - least) * size + m words. Sets meet on pairs of such words (m = 2), which are far rarer than words; above
+    ``PAIRED_WORDS`` words, where there would be many pairs, and where one shared word can be enough, on single ones.
     """
-    bag = df.select(F.col(id_column).alias("id"), F.array_sort(F.array_distinct(tokens(text))).alias("words")).where(F.size("words") > 0)
-    sets = bag.groupBy("words").agg(F.min("id").alias("id"))
-    seen = sets.select(F.explode("words").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("df"))
-    spread = F.col("n") - F.ceil(F.col("n") * least)
-    rare = (
-        sets.select("id", F.size("words").alias("n"), F.explode("words").alias("w"))
-        .join(seen, "w")
-        .withColumn("pos", F.row_number().over(Window.partitionBy("id").orderBy("df", "w")))
-        .where(F.col("pos") <= spread + 2)
-        .groupBy("id", "n")
-        .agg(F.array_sort(F.collect_list(F.struct("pos", "w"))).alias("p"))
-    )
-    few, many = F.col("n") <= PAIRED_WORDS, F.col("n") > PAIRED_WORDS * least
-    singles = F.transform(F.filter("p", lambda x: x["pos"] <= spread + 1), lambda x: F.xxhash64(x["w"]))
-    doubles = F.flatten(F.transform("p", lambda x: F.transform(F.filter("p", lambda y: y["pos"] > x["pos"]), lambda y: F.xxhash64(F.least(x["w"], y["w"]), F.greatest(x["w"], y["w"])))))
+    sets = cut(_bags(df, id_column, text).groupBy("digest").agg(F.min("id").alias("id"), F.any_value("words").alias("words")).select("id", F.size("words").alias("n"), "words"))
+    used = sets.select(F.explode("words").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("df"))
+    common = F.array(*[F.lit(r.w) for r in sorted(used.orderBy(F.desc("df"), "w").limit(COMMON_WORDS).collect(), key=lambda r: (r.df, r.w))]).cast("array<bigint>")
+    spread = F.col("n") - F.ceil(F.col("n") * least).cast("int")
+    ordered = F.concat(F.array_except("words", common), F.array_intersect(common, "words"))
+    rare = sets.select("id", "n", F.slice(ordered, F.lit(1), spread + 2).alias("p"), spread.alias("s"))
+    few, many = F.col("n") <= PAIRED_WORDS, (F.col("n") > PAIRED_WORDS * least) | (F.col("n") <= 1 / least)
+    singles = F.slice("p", F.lit(1), F.col("s") + 1)
+    doubles = F.flatten(F.transform("p", lambda x, i: F.transform(F.slice("p", i + 2, F.size("p")), lambda y: F.xxhash64(F.least(x, y), F.greatest(x, y)))))
     none = F.array().cast("array<bigint>")
     keyed = rare.select("id", "n", F.explode(F.array_distinct(F.concat(F.when(few, doubles).otherwise(none), F.when(many, singles).otherwise(none)))).alias("k"))
     a, b = keyed.select("k", F.col("id").alias("id_a"), F.col("n").alias("n_a")), keyed.select("k", F.col("id").alias("id_b"), F.col("n").alias("n_b"))
@@ -158,6 +190,6 @@ def word_set_classes(df: DataFrame, id_column: str, text: str, least: float = 0.
 
 
 def word_set_members(df: DataFrame, id_column: str, text: str) -> DataFrame:
-    """(id, representative): the smallest id with the same word set."""
-    bag = df.select(F.col(id_column).alias("id"), F.array_sort(F.array_distinct(tokens(text))).alias("words")).where(F.size("words") > 0)
-    return bag.join(bag.groupBy("words").agg(F.min("id").alias("representative")), "words").select("id", "representative")
+    """(id, representative): the smallest id with the same word set. A set that very many texts share meets them in a broadcast."""
+    bags = cut(_bags(df, id_column, text).select("id", "digest"))
+    return meet(bags, bags.groupBy("digest").agg(F.min("id").alias("representative")), "digest").select("id", "representative")

@@ -30,9 +30,9 @@ def dump_tables(tables: dict[str, DataFrame], path: str, kind: str = "parquet")
         df.write.mode("overwrite").format(kind).options(**({"header": "true"} if kind == "csv" else {})).save(f"{path}/{name}")
 
 
-def as_json(df: DataFrame, id_column: str) -> DataFrame:
-    """(id, row): each row as a JSON object without its nulls."""
-    return df.select(id_column, F.to_json(F.struct(*df.columns)).alias("row"))
+def as_json(df: DataFrame, id_column: str, *keep: str) -> DataFrame:
+    """(id, the columns ``keep``, row): each row as a JSON object without its nulls."""
+    return df.select(id_column, *keep, F.to_json(F.struct(*df.columns)).alias("row"))
 
 
 def write_report(df: DataFrame, path: str, kind: str = "json", title: str = "") -> int:

@@ -2,22 +2,23 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corvina.session import ensure_checkpoint_dir
+from corvina.sources.tables import path_kind
+
 
 def event_stream(spark: SparkSession, path: str, files_per_trigger: int = 4) -> DataFrame:
     """A stream of a Parquet table as it grows; the schema is that of the files there are."""
     schema = spark.read.parquet(path).schema
-    folder = path if Path(path.removeprefix("file://")).is_dir() else str(Path(path).parent)
+    folder, _, name = (path, "", "") if path_kind(spark, path) == "folder" else path.rpartition("/")
     reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
     if folder != path:
-        reader = reader.option("pathGlobFilter", Path(path).name)
+        reader = reader.option("pathGlobFilter", name)
     return reader.parquet(folder)
 
 
@@ -63,8 +64,7 @@ def append_new(stream: DataFrame, target: str, key: str, order: list, checkpoint
 
     def write(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
-        there = Path(target.removeprefix("file://"))
-        old = spark.read.parquet(target) if there.is_dir() and any(there.glob("*.parquet")) else batch.limit(0)
+        old = spark.read.schema(batch.schema).parquet(target) if path_kind(spark, target) else batch.limit(0)
         append_once(old, batch, key, order).write.mode("append").parquet(target)
         if done:
             done()
@@ -79,8 +79,7 @@ def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
     """
     spark = stream.sparkSession
     name = f"stream_{uuid.uuid4().hex}"
-    state = spark.conf.get("spark.checkpoint.dir", None)
-    folder = f"{state}/{name}" if state else tempfile.mkdtemp(prefix="corvina-stream-")
+    folder = f"{ensure_checkpoint_dir(spark)}/{name}"
     q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", folder).trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.table(name)
