@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvina.operators import mining, ranking
+from corvina.operators.records import bundles, child_rows
 from corvina.sources.tables import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -138,22 +139,21 @@ def options_as_text(spark, sf):
     """Options of each question joined in order; those of dangling references, which may be many under one key, are left out by a semi-join."""
     line = F.concat("alternative_letter", F.lit(") "), "alternative_text")
     return (
-        _own_options(spark, sf)
+        own_options(spark, sf)
         .groupBy("question_id")
         .agg(F.array_sort(F.collect_list(F.struct("alternative_order", "alternative_letter", "id", line.alias("line")))).alias("o"))
         .select("question_id", F.array_join(F.transform("o", lambda x: x["line"]), "\n").alias("options"))
     )
 
 
-def _own_options(spark, sf):
-    questions = read_table(spark, sf, "questions").select(F.col("id").alias("question_id"))
-    return records(spark, sf, "question_alternatives").join(questions, "question_id", "left_semi")
+def own_options(spark, sf):
+    return child_rows(records(spark, sf, "question_alternatives"), "question_id", read_table(spark, sf, "questions"))
 
 
 @query(f"SELECT question_id, array_to_string(list(alternative_letter ORDER BY alternative_order, alternative_letter, id), '') AS letters, count(*) AS n FROM {_OWN_OPTIONS} GROUP BY 1")
 def options_as_array(spark, sf):
     items = F.array_sort(F.collect_list(F.struct("alternative_order", "alternative_letter", "id")))
-    return _own_options(spark, sf).groupBy("question_id").agg(
+    return own_options(spark, sf).groupBy("question_id").agg(
         F.array_join(F.transform(items, lambda x: x["alternative_letter"]), "").alias("letters"), F.count(F.lit(1)).alias("n")
     )
 
@@ -248,7 +248,7 @@ def source_keywords(spark, sf):
         (SELECT n FROM (SELECT n, count(*) AS m FROM c GROUP BY 1 ORDER BY m DESC, n LIMIT 1)) AS mode_options FROM c"""
 )
 def option_count_mode(spark, sf):
-    counted = _own_options(spark, sf).groupBy("question_id").agg(F.count(F.lit(1)).alias("n"))
+    counted = own_options(spark, sf).groupBy("question_id").agg(F.count(F.lit(1)).alias("n"))
     sizes = counted.groupBy("n").agg(F.count(F.lit(1)).alias("m"))
     return sizes.agg(F.round(F.sum(F.col("n") * F.col("m")) / F.sum("m"), 4).alias("mean_options"), F.max_by("n", F.struct("m", -F.col("n"))).alias("mode_options"))
 
@@ -335,10 +335,36 @@ def running_budget(spark, sf):
     return out.select("o_custkey", "o_orderkey", F.round("spent", 2).alias("spent"))
 
 
-@query("SELECT id, levenshtein(lower(pdf_filename), lower(caderno)) AS distance FROM (SELECT DISTINCT * FROM exam_metadata) WHERE caderno IS NOT NULL")
-def edit_distances(spark, sf):
-    """Edit distance as the character error count of two fields."""
-    return records(spark, sf, "exam_metadata").where("caderno IS NOT NULL").select("id", F.levenshtein(F.lower("pdf_filename"), F.lower("caderno")).alias("distance"))
+@query("SELECT o_orderkey, round(spent, 2) AS spent FROM (SELECT o_orderkey, sum(o_totalprice) OVER (ORDER BY o_orderdate, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS spent FROM orders) WHERE spent <= 50000000")
+def running_budget_overall(spark, sf):
+    """One budget for all rows; the running sum needs no single task."""
+    orders = read_table(spark, sf, "orders").select("o_orderkey", "o_orderdate", "o_totalprice")
+    return ranking.running_budget(orders, [F.col("o_orderdate"), F.col("o_orderkey")], "o_totalprice", 50_000_000.0).select("o_orderkey", F.round("spent", 2).alias("spent"))
+
+
+_ASCII = "regexp_replace(coalesce(question_text, ''), '[^\\x00-\\x7f]', '?', 'g')"
+
+
+@query(
+    f"""WITH q AS (SELECT DISTINCT id, content_hash, question_number, lower(trim(subject)) AS subject, parsing_confidence, {_ASCII} AS t FROM questions WHERE content_hash IS NOT NULL),
+        g AS (SELECT *, first_value(id) OVER (PARTITION BY content_hash ORDER BY parsing_confidence DESC NULLS LAST, id) AS best FROM q),
+        m AS (SELECT g.subject, g.t AS got, b.t AS want, g.question_number IS NOT DISTINCT FROM b.question_number AS same, g.extraction_method_ok FROM (SELECT g.*, length(t) >= 20 AS extraction_method_ok FROM g) g JOIN q b ON b.id = g.best)
+        SELECT subject, count(*) AS n_golden, count(*) FILTER (WHERE extraction_method_ok) AS n_found, round(avg(extraction_method_ok::INT), 6) AS completeness,
+          round(avg(CASE WHEN extraction_method_ok THEN CASE WHEN length(want) = 0 THEN CASE WHEN got = '' THEN 0.0 ELSE 1.0 END ELSE least(1.0, levenshtein(got, want) / length(want)::DOUBLE) END END), 6) AS error_rate,
+          round(avg(CASE WHEN extraction_method_ok THEN same::INT END), 6) AS question_number_accuracy FROM m GROUP BY 1"""
+)
+def golden_errors(spark, sf):
+    """Every extracted wording (of 20 characters or more) against the most trusted one of its question: error rate, completeness, accuracy of numbers, by subject.
+
+    Characters beyond ASCII count alike, so that engines which count bytes agree.
+    """
+    plain = F.regexp_replace(F.coalesce("question_text", F.lit("")), r"[^\x00-\x7f]", "?")
+    q = records(spark, sf, "questions").where("content_hash IS NOT NULL").select("id", "content_hash", "question_number", F.lower(F.trim("subject")).alias("subject"), "parsing_confidence", plain.alias("t"))
+    best = ranking.canonical_rows(q, "content_hash", "parsing_confidence", "id").select("id", "canonical_id")
+    wanted = q.select(F.col("id").alias("canonical_id"), "t", "question_number")
+    golden = best.join(q.select("id", "subject"), "id").join(wanted, "canonical_id")
+    out = mining.golden_metrics(q.where(F.length("t") >= 20).select("id", "t", "question_number"), golden, ["id"], "t", "subject", "question_number")
+    return out.withColumns({c: F.round(c, 6) for c in ("completeness", "error_rate", "question_number_accuracy")})
 
 
 # ---------------------------------------------------------------- filters and pages
@@ -399,10 +425,10 @@ def structurally_valid(spark, sf):
     return records(spark, sf, "questions").where(ok).select("id")
 
 
-@query()
+@query("SELECT DISTINCT id, question_number, md5(id) AS h FROM questions ORDER BY h, id LIMIT 10")
 def hash_sample(spark, sf):
     """Ten questions chosen by a hash of the id: a sample that is the same in every run."""
-    return records(spark, sf, "questions").select("id", "question_number").orderBy(F.xxhash64("id"), "id").limit(10)
+    return records(spark, sf, "questions").select("id", "question_number", F.md5("id").alias("h")).orderBy("h", "id").limit(10)
 
 
 # ---------------------------------------------------------------- joins
@@ -424,6 +450,35 @@ def questions_with_keys(spark, sf):
     return joined.select("id", "question_number", F.coalesce("correct_answer", F.lit("-")).alias("correct_answer"), F.coalesce("language_option", F.lit("ingles")).alias("language_option"))
 
 
+@query(
+    """SELECT q.id, k.correct_answer FROM (SELECT DISTINCT id, exam_metadata_id, question_number, subject FROM questions) q
+       LEFT JOIN (SELECT DISTINCT * FROM answer_keys) k ON k.exam_metadata_id = q.exam_metadata_id AND k.question_number = q.question_number AND lower(trim(k.subject)) = lower(trim(q.subject))"""
+)
+def questions_with_subject_keys(spark, sf):
+    """Keys of the same exam, number and subject."""
+    on = ["exam_metadata_id", "question_number", "s"]
+    keys = records(spark, sf, "answer_keys").select("exam_metadata_id", "question_number", F.lower(F.trim("subject")).alias("s"), "correct_answer")
+    q = records(spark, sf, "questions").select("id", "exam_metadata_id", "question_number", F.lower(F.trim("subject")).alias("s"))
+    return q.join(keys, on, "left").select("id", "correct_answer")
+
+
+@query(
+    f"""SELECT q.id, q.question_number, e.year, k.correct_answer, coalesce(k.n, 0) AS n_keys, coalesce(a.t, '') AS options FROM (SELECT DISTINCT id, question_number, exam_metadata_id FROM questions) q
+        LEFT JOIN (SELECT DISTINCT id, year FROM exam_metadata) e ON e.id = q.exam_metadata_id
+        LEFT JOIN (SELECT exam_metadata_id, question_number, min(correct_answer) AS correct_answer, count(*) AS n FROM (SELECT DISTINCT * FROM answer_keys) GROUP BY 1, 2) k ON k.exam_metadata_id = q.exam_metadata_id AND k.question_number = q.question_number
+        LEFT JOIN (SELECT o.question_id, string_agg(o.alternative_letter || ') ' || coalesce(o.alternative_text, '') || CASE WHEN o.alternative_letter = k.correct_answer THEN ' *' ELSE '' END, chr(10) ORDER BY o.alternative_order, o.alternative_letter, o.id) AS t
+          FROM {_OWN_OPTIONS} o JOIN (SELECT DISTINCT id, question_number, exam_metadata_id FROM questions) q ON q.id = o.question_id
+          LEFT JOIN (SELECT exam_metadata_id, question_number, min(correct_answer) AS correct_answer FROM answer_keys GROUP BY 1, 2) k ON k.exam_metadata_id = q.exam_metadata_id AND k.question_number = q.question_number GROUP BY 1) a ON a.question_id = q.id"""
+)
+def question_bundles(spark, sf):
+    """Each question with its exam, its options in order, and which of them is correct, in one row."""
+    q = records(spark, sf, "questions").select("id", "question_number", "exam_metadata_id")
+    exams = records(spark, sf, "exam_metadata").select(F.col("id").alias("exam_metadata_id"), "year")
+    full = bundles(q, records(spark, sf, "question_alternatives"), records(spark, sf, "answer_keys")).join(exams, "exam_metadata_id", "left")
+    line = lambda o: F.concat(o["letter"], F.lit(") "), F.coalesce(o["text"], F.lit("")), F.when(o["is_correct"], " *").otherwise(""))
+    return full.select("id", "question_number", "year", "correct_answer", "n_keys", F.array_join(F.transform("options", line), "\n").alias("options"))
+
+
 @query("SELECT o.o_orderkey FROM orders o WHERE NOT EXISTS (SELECT 1 FROM lineitem l WHERE l.l_orderkey = o.o_orderkey)")
 def orphan_parents(spark, sf):
     """Parents without children; an anti-join, as a left join with a null test keeps all children."""
@@ -549,6 +604,19 @@ def numbered_selection(spark, sf):
     return pick_with_keys(orders, keys, ["o_orderkey"], [F.desc("o_totalprice"), F.col("o_orderkey")], 45).drop("o_totalprice")
 
 
+@query(
+    """SELECT count(*) AS n_selected, array_to_string(list(order_no ORDER BY order_no) FILTER (WHERE o_orderkey % 5 = 0), ',') AS missing_answers FROM (
+         SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS order_no FROM orders) WHERE order_no <= 45"""
+)
+def missing_answers(spark, sf):
+    """The order numbers of a selection that have no answer."""
+    from corvina.operators.search import missing_numbers, pick_with_keys
+
+    orders = read_table(spark, sf, "orders").select("o_orderkey", "o_totalprice")
+    picked = pick_with_keys(orders, orders.where("o_orderkey % 5 <> 0").select("o_orderkey"), ["o_orderkey"], [F.desc("o_totalprice"), F.col("o_orderkey")], 45)
+    return missing_numbers(picked).select("n_selected", F.array_join("missing_answers", ",").alias("missing_answers"))
+
+
 @query(
     """WITH n AS (SELECT DISTINCT exam_metadata_id, question_number AS x FROM questions WHERE question_number BETWEEN 1 AND 180),
        b AS (SELECT * FROM n UNION SELECT DISTINCT exam_metadata_id, 0 FROM questions UNION SELECT DISTINCT exam_metadata_id, 181 FROM questions),
@@ -620,6 +688,57 @@ def appended_once(spark, sf):
     return new.select("content_hash", "id")
 
 
+_NULLED = "SELECT nullif(user_id % 7, 0) AS k, event_id, value FROM events WHERE event_id % 4 = {}"
+
+
+@query(
+    f"""WITH o AS (SELECT k, max(event_id) AS event_id FROM ({_NULLED.format(0)}) GROUP BY 1), n AS (SELECT k, max(event_id) AS event_id FROM ({_NULLED.format(1)} AND user_id % 7 < 4) GROUP BY 1)
+        SELECT n.k, n.event_id, EXISTS (SELECT 1 FROM o WHERE o.k IS NOT DISTINCT FROM n.k) = false AS is_new FROM n
+        UNION ALL SELECT o.k, o.event_id, false FROM o WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.k IS NOT DISTINCT FROM o.k)"""
+)
+def upserted_with_null_keys(spark, sf):
+    """An upsert in which null is a key like others."""
+    events = read_table(spark, sf, "events").select(F.nullif(F.col("user_id") % 7, F.lit(0)).alias("k"), "event_id", "user_id")
+    latest = [F.desc("event_id")]
+    old = ranking.first_of(events.where("event_id % 4 = 0"), ["k"], latest)
+    return ranking.upsert(old, events.where("event_id % 4 = 1 AND user_id % 7 < 4"), ["k"], latest).select("k", "event_id", "is_new")
+
+
+@query(
+    f"""WITH o AS (SELECT DISTINCT k FROM ({_NULLED.format(0)}) WHERE k IS NULL OR k < 3) SELECT k, min(event_id) AS event_id FROM ({_NULLED.format(1)}) n WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.k IS NOT DISTINCT FROM n.k) GROUP BY 1"""
+)
+def appended_with_null_keys(spark, sf):
+    events = read_table(spark, sf, "events").select(F.nullif(F.col("user_id") % 7, F.lit(0)).alias("k"), "event_id")
+    old = events.where("event_id % 4 = 0 AND (k IS NULL OR k < 3)")
+    return ranking.append_once(old, events.where("event_id % 4 = 1"), "k", [F.col("event_id")]).select("k", "event_id")
+
+
+@query(
+    """WITH o AS (SELECT user_id, max(value) AS old_score FROM events WHERE event_id % 2 = 0 GROUP BY 1), n AS (SELECT user_id, max(value) AS new_score FROM events WHERE event_id % 2 = 1 GROUP BY 1)
+       SELECT user_id, round(old_score, 6) AS old_score, round(new_score, 6) AS new_score, CASE WHEN new_score > coalesce(old_score, 0) AND new_score >= 100 THEN 'persist' ELSE 'dead_letter' END AS decision FROM n LEFT JOIN o USING (user_id)"""
+)
+def second_attempts(spark, sf):
+    """Second attempts that are better than the first and good enough are kept, others go to the dead letters."""
+    events = read_table(spark, sf, "events").select("event_id", "user_id", "value")
+    out = ranking.accept_better(events.where("event_id % 2 = 0"), events.where("event_id % 2 = 1"), "user_id", "value", 100.0)
+    return out.withColumns({c: F.round(c, 6) for c in ("old_score", "new_score")})
+
+
+@query(
+    f"""SELECT q.id, 'pending' AS status, concat_ws(chr(10), question_text, coalesce(o, '')) AS raw_text FROM (SELECT DISTINCT id, question_text, exam_metadata_id, question_number FROM questions WHERE parsing_confidence < 0.55) q
+        LEFT JOIN (SELECT question_id, string_agg(alternative_text, chr(10) ORDER BY alternative_order, alternative_letter, id) AS o FROM {_OWN_OPTIONS} GROUP BY 1) a ON a.question_id = q.id
+        WHERE q.id NOT IN (SELECT id FROM dead_letter_questions)"""
+)
+def dead_letters_enqueued(spark, sf):
+    """Questions of low confidence as rows of the dead-letter queue."""
+    item = F.struct("alternative_order", "alternative_letter", "id", "alternative_text")
+    texts = F.transform(F.array_sort(F.collect_list(item)), lambda x: x["alternative_text"])
+    options = own_options(spark, sf).groupBy(F.col("question_id").alias("id")).agg(texts.alias("options"))
+    failed = records(spark, sf, "questions").where("parsing_confidence < 0.55").select("id", "question_text").join(options, "id", "left")
+    failed = failed.withColumn("options", F.coalesce("options", F.array().cast("array<string>")))
+    return ranking.enqueue(failed, "question_text", "options", ["id"], read_table(spark, sf, "dead_letter_questions")).select("id", "status", "raw_text")
+
+
 @query(
     """SELECT DISTINCT id, CASE WHEN question_number IS NOT NULL AND status = 'pending' THEN 'resolved' ELSE status END AS status FROM dead_letter_questions"""
 )
