@@ -1,12 +1,15 @@
 """Ranking, search, mining and stream operators against brute force on small frames."""
 
+import hashlib
 import math
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from corvina.operators import mining, ranking, search
+from corvina.functions.tokens import first_tokens
+from corvina.operators import mining, ranking, search, skew
+from corvina.operators import records as recs
 from corvina.sources.tables import read_documents_dir
 from corvina.streaming import ingest
 
@@ -54,9 +57,49 @@ def test_sinks(spark):
     assert {r.k: r.s for r in done.collect()} == {1: "pending", 2: "resolved"}
 
 
+def test_null_keys(spark):
+    """Null is a key like others: it is replaced, and appended once only."""
+    schema = "k int, j string, t int"
+    old = spark.createDataFrame([(None, "a", 1), (1, None, 1), (1, "b", 1)], schema)
+    new = spark.createDataFrame([(None, "a", 2), (1, None, 2), (None, None, 2)], schema)
+    state = {(r.k, r.j): (r.t, r.is_new) for r in ranking.upsert(old, new, ["k", "j"], [F.desc("t")]).collect()}
+    assert state == {(None, "a"): (2, False), (1, None): (2, False), (1, "b"): (1, False), (None, None): (2, True)}
+    assert ranking.append_once(old, new, "k", [F.col("t")]).count() == 0
+    assert [(r.k, r.t) for r in ranking.append_once(old.where("k = 1"), new, "k", [F.col("t"), F.col("j")]).collect()] == [(None, 2)]
+    assert ranking.upsert(old.limit(0), new.limit(0), ["k"], [F.desc("t")]).count() == 0
+
+
+def test_second_attempts_and_queue(spark):
+    old = spark.createDataFrame([(1, 0.5), (2, 0.9), (3, None)], "k int, s double")
+    new = spark.createDataFrame([(1, 0.9), (2, 0.9), (3, 0.85), (4, 0.8), (5, None)], "k int, s double")
+    got = {r.k: r.decision for r in ranking.accept_better(old, new, "k", "s").collect()}
+    assert got == {1: "persist", 2: "dead_letter", 3: "persist", 4: "dead_letter", 5: "dead_letter"}
+    failed = spark.createDataFrame([(1, "t", ["a", "b"]), (1, "t", ["a", "b"]), (2, "u", []), (3, None, ["c"]), (None, "n", None)], "k int, text string, options array<string>")
+    queue = spark.createDataFrame([(2,)], "k int")
+    rows = {r.k: (r.raw_text, r.status) for r in ranking.enqueue(failed, "text", "options", ["k"], queue).collect()}
+    assert rows == {1: ("t\na\nb", "pending"), 3: ("c", "pending"), None: ("n", "pending")}
+
+
+def test_hot_keys(spark):
+    rows = spark.range(4000).select("id", F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 1000 == 1, None).otherwise(F.concat(F.lit("k"), F.col("id"))).alias("k")).withColumn("x", F.lit(1))
+    table = rows.where("k <> 'k5'").groupBy("k").agg(F.max("id").alias("m"))
+    assert [r.k for r in skew.hot_keys(rows, "k").collect()] == ["hot"]
+    for how in ("inner", "left"):
+        want = rows.join(table, "k", how)
+        assert sorted(map(str, skew.meet(rows, table, "k", how).select(want.columns).collect())) == sorted(map(str, want.collect()))
+    assert skew.meet(rows.limit(0), table, "k").count() == 0
+
+
 def test_budget(spark):
     df = spark.createDataFrame([(i, 3.0) for i in range(5)], "i int, c double")
     assert [r.i for r in ranking.running_budget(df, [F.col("i")], "c", 9.0).collect()] == [0, 1, 2]
+    many = spark.range(2000).select("id", (F.col("id") % 7).cast("double").alias("c")).repartition(6)
+    want, spent = [], 0.0
+    for i in range(2000):
+        spent += i % 7
+        want += [(i, spent)] if spent <= 1000 else []
+    assert sorted((r.id, r.spent) for r in ranking.running_budget(many, [F.col("id")], "c", 1000.0).collect()) == want
+    assert ranking.running_budget(df.limit(0), [F.col("i")], "c", 9.0).count() == 0
 
 
 def test_fusion_values(spark):
@@ -101,6 +144,87 @@ def test_word_sets(spark, monkeypatch, paired):
     assert members == {i: first[frozenset(t.split())] for i, t in texts}
 
 
+def test_word_sets_of_few_words(spark):
+    """At 0.5 sets that share one word only count, too."""
+    rng = random.Random(9)
+    texts = [(i, " ".join(rng.sample("abcdefgh", rng.randint(1, 4)))) for i in range(80)]
+    df = spark.createDataFrame(texts, "id int, t string")
+    first: dict = {}
+    for i, t in texts:
+        first.setdefault(frozenset(t.split()), i)
+    got = {(r.id_a, r.id_b): r.similarity for r in search.word_set_classes(df, "id", "t", 0.5).collect()}
+    assert got == {(i, j): len(a & b) / len(a | b) for a, i in first.items() for b, j in first.items() if i < j and len(a & b) / len(a | b) >= 0.5}
+    assert search.word_set_classes(df.limit(0), "id", "t", 0.5).count() == 0 and search.word_set_members(df.limit(0), "id", "t").count() == 0
+
+
+def test_filtered_search(spark):
+    rows = [(1, "q1", "full", "Artes", 2020, [1.0, 0.0]), (2, "q1", "full", "artes", 2021, [1.0, 0.1]), (3, "q2", "context", "ARTES", 2021, [0.5, 0.5]), (4, "q3", "full", None, 2021, [0.9, 0.0]), (5, "q4", "full", "artes", 2021, None)]
+    df = spark.createDataFrame(rows, "id int, question_id string, chunk_type string, subject string, year int, embedding array<double>")
+    ids = lambda **f: [r.id for r in search.filtered_vectors(df, [1.0, 0.0], 9, **f).orderBy(F.desc("similarity"), "id").collect()]
+    assert ids() == [1, 4, 3] and ids(subject="aRTES", chunk_type="full") == [1] and ids(year=2021, subject="artes") == [2, 3] and ids(chunk_type="none") == []
+
+
+# ---------------------------------------------------------------- whole records
+
+
+def test_option_lines_and_chunks(spark):
+    rows = [(1, "Texto", ["A) um", "dois", None, "b)x", "e", "f"], "ctx"), (2, None, None, " \n"), (3, "", [], None)]
+    df = spark.createDataFrame(rows, "id int, t string, o array<string>, c string")
+    got = {(r.id, r.chunk_type): r for r in recs.build_chunks(df, "id", "t", "o", "c", lambda c: first_tokens(c, 4)).collect()}
+    assert set(got) == {(1, "full"), (1, "context"), (2, "full"), (3, "full")}
+    whole = "[ENUNCIADO] Texto\nA) um\nB) dois\nC) \nb)x\nE) e\n5) f"
+    assert got[1, "full"].content_hash == hashlib.sha256(whole.encode()).hexdigest()
+    assert got[1, "full"].token_count == 4 and whole.startswith(got[1, "full"].content) and got[1, "context"].content == "ctx"
+    assert {r.content for r in recs.build_chunks(df, "id", "t", "o", "c").where("id > 1").collect()} == {"[ENUNCIADO] "}
+    named = spark.createDataFrame([(1, [("b", "x"), (None, "y")])], "id int, o array<struct<letter:string,text:string>>")
+    assert named.select(recs.option_lines(named, "o").alias("x")).first().x == ["B) x", "B) y"]
+
+
+def test_bundles(spark):
+    q = spark.createDataFrame([("q1", "e", 1), ("q2", "e", 2), ("q3", None, None)], "id string, exam_metadata_id string, question_number int")
+    o = spark.createDataFrame([("1", "q1", "B", "b", 2), ("2", "q1", "A", "a", 1), ("3", "none", "A", "a", 1)], "id string, question_id string, alternative_letter string, alternative_text string, alternative_order int")
+    k = spark.createDataFrame([("e", 1, "B"), ("e", 1, "C"), ("x", 2, "A")], "exam_metadata_id string, question_number int, correct_answer string")
+    got = {r.id: r for r in recs.bundles(q, o, k).collect()}
+    assert [tuple(x) for x in got["q1"].options] == [("A", "a", False), ("B", "b", True)] and got["q1"].n_keys == 2
+    assert got["q2"].options == [] and got["q2"].n_keys == 0 and got["q3"].correct_answer is None
+
+
+def test_phases(spark):
+    extracted = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "number int, text string")
+    verdicts = spark.createDataFrame([(1, 0.2, "slow"), (2, 0.8, None)], "number int, confidence double, error string")
+    repairs = spark.createDataFrame([(2, "B"), (3, None)], "number int, text string")
+    detected = spark.createDataFrame([(3, "x", 0.9), (4, "y", 0.41), (5, "z", 0.4)], "number int, text string, confidence double")
+    out = recs.combine_phases(extracted, verdicts, repairs, detected)
+    got = {r.number: (r.text, r.phase, round(r.confidence, 6), r.validation_error, r.repair_failed) for r in out.collect()}
+    assert got == {1: ("a", "validated", 0.2, True, False), 2: ("B", "repaired", 0.9, False, False), 3: ("c", "extracted", 0.5, False, True), 4: ("y", "detected", 0.41, False, False)}
+    assert {(r.number, r.issue) for r in recs.issue_lines(out).collect()} == {(1, "Validation error"), (1, "Low confidence score"), (3, "Repair failed"), (4, "Low confidence score")}
+    assert recs.confidence_map(out.withColumn("g", F.lit("x")), "g").first().confidences[2] == pytest.approx(0.9)
+    answers = [("p1", 'sure: {"missing_questions": [{"estimated_number": 9, "alternatives": ["a","b","c","d","e"], "confidence": 0.8}, {"alternatives": ["a"]}]} ok'), ("p2", "none"), ("p3", None), ("p4", "{broken")]
+    found = recs.parse_candidates(spark.createDataFrame(answers, "at string, r string"), "r", "at").collect()
+    assert [(r.number, r.confidence, r.location, r.method) for r in found] == [(9, 0.8, "p1 - ", "ai_detection")]
+
+
+def test_golden_metrics(spark):
+    golden = spark.createDataFrame([(1, "abcd", "m", 1), (2, "abcd", "m", 2), (3, "", "n", 3), (4, None, "n", 4)], "k int, t string, s string, n int")
+    got = spark.createDataFrame([(1, "abcx", 1), (3, "zz", 9), (4, None, 4)], "k int, t string, n int")
+    out = {r.s: r for r in mining.golden_metrics(got, golden, ["k"], "t", "s", "n").collect()}
+    assert (out["m"].n_golden, out["m"].n_found, out["m"].completeness, out["m"].error_rate, out["m"].n_accuracy) == (2, 1, 0.5, 0.25, 1.0)
+    assert (out["n"].error_rate, out["n"].n_accuracy) == (0.5, 0.5)
+
+
+def test_forest(spark, tmp_path):
+    df = spark.createDataFrame([(i, "gato preto dorme" if i % 4 else "sol forte brilha", "a" if i % 4 else "b") for i in range(60)], "id int, t string, y string")
+    training, test = mining.split_rows(df, "id", 0.3)
+    assert training.count() + test.count() == 60 and 5 < test.count() < 35
+    model = mining.train_classifier(training, "y", "t", "rf", pairs=True, balanced=True)
+    mining.save_model(model, str(tmp_path / "m"))
+    rows = mining.predict_labels(df, mining.load_model(str(tmp_path / "m")), "id", "t").join(df, "id").collect()
+    assert all(r.predicted == r.y and r.probabilities[r.y] > 0.5 and abs(sum(r.probabilities.values()) - 1) < 1e-6 for r in rows)
+    terms = {r.term for r in mining.term_importances(model, spark).collect()}
+    assert terms & {"gato preto", "preto dorme", "sol forte", "forte brilha"}
+    assert mining.predict_labels(df, mining.train_classifier(df, "y", "t", "svm"), "id", "t").first().probabilities is None
+
+
 def test_require_rows(spark):
     assert search.require_rows(spark.range(3), 3).count() == 3
     with pytest.raises(Exception, match="fewer than 4 rows"):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corvina.operators import embedding, ranking
 from corvina.sources import links, sinks
+from corvina.sources.tables import path_kind, read_exam_files
 
 
 def test_partition_replacement(spark, tmp_path):
@@ -67,13 +68,32 @@ def test_hashed_vectors(spark):
     assert v[0].v == v[1].v and len(v[2].v) == 8 and all(-1 <= x <= 1 for r in v for x in r.v)
 
 
-def test_most_used(spark):
-    df = spark.createDataFrame([(f"w{i}", n) for i, n in enumerate([100, 90, 50, 9, 9, 9, 3, 1, 1, 1])], "w string, n long")
-    kept = {r.w for r in ranking.most_used(df, "n", 4).collect()}
-    assert {"w0", "w1", "w2"} == kept
-    assert ranking.most_used(df, "n", 100).count() == 10
-    assert ranking.most_used(df.where(F.col("n") > 1000), "n", 5).count() == 0
-    assert ranking.most_used(df.where("n = 1"), "n", 2).count() == 0
+def test_vector_cache(spark):
+    """Old vectors count as not there, chunks that are too large are not sent, and a failing model says why."""
+    chunks = spark.createDataFrame([("a", "x", 5), ("b", "y", 5), ("c", "z", 9000), ("d", "bad", 5)], "content_hash string, content string, n int")
+    cache = spark.sql("SELECT 'a' AS content_hash, array(9.0f) AS embedding, current_timestamp() AS t UNION ALL SELECT 'b', array(8.0f), current_timestamp() - INTERVAL 30 DAYS")
+
+    def model(texts):
+        if "bad" in texts:
+            raise ValueError("no")
+        return [[1.0] for _ in texts]
+
+    got = {r.content_hash: (r.embedding, r.from_cache, r.error) for r in embedding.embed_missing(chunks, cache, model, batch=1, tokens="n", made_at="t").collect()}
+    assert got == {"a": ([9.0], True, None), "b": ([1.0], False, None), "c": (None, False, "more than 8192 tokens"), "d": (None, False, "ValueError: no")}
+
+
+def test_path_kind(spark, tmp_path):
+    """What is at a path is asked of the path's own file system, so addresses with a scheme work, too."""
+    (tmp_path / "f").write_text("x")
+    assert [path_kind(spark, p) for p in (f"file://{tmp_path}", str(tmp_path / "f"), f"file://{tmp_path}/none")] == ["folder", "file", None]
+
+
+def test_exam_files(spark, tmp_path):
+    for name in ("2023/2023_PV_b.pdf", "2023/2023_GB_a.pdf", "2022/2022_PV_a.pdf", "2023/2023_PV_a.pdf"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(b"%PDF")
+    names = lambda *a: [r.file_name for r in read_exam_files(spark, str(tmp_path), *a).collect()]
+    assert names("PV", 2023) == ["2023_PV_a.pdf", "2023_PV_b.pdf"] and names("GB") == ["2023_GB_a.pdf"]
 
 
 def test_bounded_sample(spark):
