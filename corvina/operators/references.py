@@ -7,11 +7,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corvina.operators.skew import MAX_HOT_KEYS
 from corvina.session import cut
 
-#: A key is hot if at least one row in so many has it; hence there are never more hot keys than this number.
-MAX_HOT_KEYS = 200
-
 
 def clean_key(column: str | Column) -> Column:
     """Keys compare without regard to case and outer white space."""
@@ -69,7 +67,8 @@ def find_orphans(
         .groupBy("_k")
         .agg(F.min("_born").alias("_born"))
     )
-    keys = c.groupBy("_k").agg(F.count(F.lit(1)).alias("_n"), F.min("child_created_at").alias("_first"))
+    # Written once, as the keys that are absent, those that are early and the total all start from it.
+    keys = cut(c.groupBy("_k").agg(F.count(F.lit(1)).alias("_n"), F.min("child_created_at").alias("_first")))
     absent = keys.join(p, "_k", "left_anti")
     if ref.parent_table is not None and deletions is not None:
         gone = (

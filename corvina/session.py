@@ -19,6 +19,7 @@ def local_session(app: str = "corvina", cpus: str | int = "8", **conf: str) -> S
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "8g")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")  # files go when their frame is no longer used
     )
     for key, value in conf.items():
         builder = builder.config(key, value)
