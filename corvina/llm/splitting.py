@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvina.llm.tokens import DEFAULT_TOKENIZER, byte_shapes, encoder
+from corvina.functions.tokens import DEFAULT_TOKENIZER, byte_shapes, encoder
 
 #: Cutting may give the tokens next to a cut another shape; so many are kept free in each piece.
 SLACK = 8
@@ -106,8 +106,8 @@ def split_oversized(
     large = (
         df.select(F.col(id_column).alias("id"), F.col(text_column).alias("_text"))
         .where(F.octet_length("_text") > limit)
-        .dropDuplicates(["id"])
         .mapInPandas(shapes, f"id {key_type}, _text string, _shape string, _ends array<int>")
+        .dropDuplicates(["id"])  # after the size is known, as few texts are that large
     )
     cuts = large.withColumn(
         "_lengths", F.transform(F.regexp_extract_all("_shape", F.lit(cutting_pattern(limit - SLACK, rest)), F.lit(0)), F.length)
