@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from corvina.llm.tokens import DEFAULT_TOKENIZER, token_count
+from corvina.functions.tokens import DEFAULT_TOKENIZER, token_count
 from corvina.session import cut
 
 #: Positions within a source are summed in so many hash ranges.

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvina.llm.tokens import DEFAULT_TOKENIZER, token_count
+from corvina.functions.tokens import DEFAULT_TOKENIZER, token_count
 
 
 class SumOfSquares:

@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from corvina.llm import mixing, neighbours, packing, splitting
-from corvina.llm.tokens import count, token_count
+from corvina.functions.tokens import count, token_count
 
 WORDS = "casa água coração número está bem-te-vi Rio 2020 fim.\n então, talvez; não\n\n".split(" ")
 
@@ -83,7 +83,7 @@ def test_cuts_at_paragraphs(spark):
 @settings(max_examples=40, deadline=None)
 @given(st.text(min_size=1, max_size=400))
 def test_shapes_reach_the_end(text):
-    from corvina.llm.tokens import DEFAULT_TOKENIZER, encoder
+    from corvina.functions.tokens import DEFAULT_TOKENIZER, encoder
 
     tokens = np.array(encoder(DEFAULT_TOKENIZER).encode_ordinary(text))
     shape, ends = splitting.skeleton(text, tokens, DEFAULT_TOKENIZER)
@@ -269,6 +269,27 @@ def test_recall_and_copies(spark):
     assert neighbours.nearest_vectors(df.limit(0)).count() == 0
 
 
+def test_partitions_and_hot_copies(spark, monkeypatch):
+    """The result does not hang on the number of partitions; copies are the same whether met in a broadcast or not."""
+    rng = np.random.default_rng(6)
+    centres = rng.standard_normal((100, 64))
+    x = (centres[rng.integers(0, 100, 900)] + 0.1 * rng.standard_normal((900, 64))).astype(np.float32)
+    x[:300] = x[0]
+    ids = [f"v{i:05d}" for i in range(len(x))]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, x, strict=True)], "id string, embedding array<float>")
+    rows = lambda: sorted((r.id, r.place, r.neighbour) for r in neighbours.nearest_vectors(df).collect())
+    first = rows()
+    want = brute(ids, x.astype(np.float64), 5, 0.92)
+    assert {k: v for k, v in want.items() if v} == {k: [n for i, _, n in first if i == k] for k in {i for i, _, _ in first}}
+    monkeypatch.setattr(neighbours, "MAX_BROADCAST", 0)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "50")
+    try:
+        assert rows() == first
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_crowd_beyond_every_window(spark):
     """A third of the rows is one topic, far larger than a window: all of it is compared, and what is beside it."""
     rng = np.random.default_rng(5)

@@ -55,6 +55,12 @@ def test_lost_letters(codes):
     assert codes.repair("xyz�w") == ("lost", 1, 1, None)
 
 
+def test_words_before_question_marks(codes):
+    """A lost last letter is a case by the classifier's lead and a known word; an ordinary question is none."""
+    assert codes.repair("O caf? aumentou e o café também") == ("lost", 1, 1, "O café aumentou e o café também")
+    assert codes.repair("Quem é você? disse ela") is None and codes.repair("E a casa? perguntou") is None
+
+
 def test_dropped_invisible_characters(codes):
     wrong = encoding.garble("famílias", "utf8>cp1252").replace("\xad", "")
     assert codes.repair(f"as {wrong} estÃ£o")[3] == "as famílias estão"
