@@ -526,7 +526,8 @@ def repair_encoding(
             found = []
             for i, t in enumerate(batch["_text"]):
                 if answers is not None:
-                    model.answered([] if answers[i] is None else [(x["key"], x["value"]) for x in answers[i]])
+                    parts = answers[i].split("\n") if answers[i] else []
+                    model.answered(zip(parts[::2], parts[1::2], strict=True))
                 if (r := model.repair(t)) is not None:
                     found.append((i, *r))
             rows = batch.iloc[[f[0] for f in found]].drop(columns=["_text", "_answers"], errors="ignore").reset_index(drop=True)
@@ -539,15 +540,17 @@ def repair_encoding(
     def asking(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = Model(bare.value, {}, {}, set())
         for batch in batches:
-            keys = [list(model.asks(t)) for t in batch["_text"]]
+            # No word holds a line break, so keys travel as lines of one string.
+            keys = ["\n".join(k for k in model.asks(t) if "\n" not in k) for t in batch["_text"]]
             at = [i for i, k in enumerate(keys) if k]
             yield batch.iloc[at].assign(_keys=pd.Series([keys[i] for i in at], batch.index[at], object))
 
-    asked = cut(narrow.mapInPandas(asking, f"{head}id {key_type}, _text string, _keys array<string>").withColumn("_h", F.md5("_text")))
+    asked = cut(narrow.mapInPandas(asking, f"{head}id {key_type}, _text string, _keys string").withColumn("_h", F.md5("_text")))
 
     # A key or a text that very many rows have meets them in a broadcast. A key may have several values, hence the lists.
-    keys = cut(asked.select("_h", F.explode("_keys").alias("key")).distinct())
+    keys = cut(asked.select("_h", F.explode(F.split("_keys", "\n")).alias("key")).distinct())
     found = keys.select("key").distinct().join(words, "key").groupBy("key").agg(F.collect_list("value").alias("values"))
-    by_text = meet(keys, found, "key").select("_h", "key", F.explode("values").alias("value")).groupBy("_h").agg(F.collect_list(F.struct("key", "value")).alias("_answers"))
+    one = F.concat_ws("\n", "key", "value")
+    by_text = meet(keys, found, "key").select("_h", "key", F.explode("values").alias("value")).groupBy("_h").agg(F.array_join(F.collect_list(one), "\n").alias("_answers"))
     met = meet(asked.drop("_keys"), by_text, "_h", "left").drop("_h")
     return met.mapInPandas(repaired, result)
