@@ -47,26 +47,34 @@ def confidence(text: str | Column, options: str | Column, number: str | Column,
     t = F.coalesce(_col(text), F.lit(""))
     o = F.coalesce(_col(options), F.array().cast("array<string>"))
     n = _col(number)
-    quality = option_quality(o)
-    raw_options = F.regexp_count(t, F.lit(r"(?m)^[A-E]\s+\S.{2,}")) >= 3
-    contaminated = is_contaminated(F.concat_ws(" ", t, F.array_join(o, " ")))
     five, long, placed = F.size(o) == 5, F.length(t) >= 50, F.coalesce(n.between(1, 180), F.lit(False))
     ok = valid if valid is not None else five & (F.length(t) > 0) & placed
-    points = lambda condition, p: F.when(condition, p).otherwise(0.0)
-    total = (
-        points(five, 0.20) + points(long, 0.15) + quality["score"] + points(placed, 0.10) + points(~contaminated & ~raw_options, 0.20) + points(ok, 0.10)
+    # The parts that cost most are worked out once, as an element that the rest refers to.
+    costly = F.struct(
+        option_quality(o).alias("quality"),
+        is_contaminated(F.concat_ws(" ", t, F.array_join(o, " "))).alias("contaminated"),
+        (F.regexp_count(t, F.lit(r"(?m)^[A-E]\s+\S.{2,}")) >= 3).alias("listed"),
     )
-    issues = F.array_compact(
-        F.array(
-            F.when(~five, F.concat(F.lit("options="), F.size(o))),
-            F.when(~long, F.concat(F.lit("text_length="), F.length(t))),
-            quality["issue"],
-            F.when(~placed, F.concat(F.lit("number="), F.coalesce(n.cast("string"), F.lit("null")))),
-            F.when(contaminated, "contaminated").when(raw_options, "raw_options_in_text"),
-            F.when(~ok, "invalid"),
+    points = lambda condition, p: F.when(condition, p).otherwise(0.0)
+
+    def summed(x: Column) -> Column:
+        clean = ~x["contaminated"] & ~x["listed"]
+        return points(five, 0.20) + points(long, 0.15) + x["quality"]["score"] + points(placed, 0.10) + points(clean, 0.20) + points(ok, 0.10)
+
+    def scored(x: Column) -> Column:
+        issues = F.array_compact(
+            F.array(
+                F.when(~five, F.concat(F.lit("options="), F.size(o))),
+                F.when(~long, F.concat(F.lit("text_length="), F.length(t))),
+                x["quality"]["issue"],
+                F.when(~placed, F.concat(F.lit("number="), F.coalesce(n.cast("string"), F.lit("null")))),
+                F.when(x["contaminated"], "contaminated").when(x["listed"], "raw_options_in_text"),
+                F.when(~ok, "invalid"),
+            )
         )
-    )
-    return F.struct(F.round(total, 4).alias("score"), issues.alias("issues"), route(total).alias("routing"))
+        return F.struct(F.round(summed(x), 4).alias("score"), issues.alias("issues"), route(summed(x)).alias("routing"))
+
+    return F.get(F.transform(F.array(costly), scored), F.lit(0))
 
 
 def route(score: Column) -> Column:
