@@ -31,10 +31,10 @@ def clean_source(column: str | Column) -> Column:
 
 
 def parts_of(weights: dict[str, float], period: int = PERIOD) -> dict[str, int]:
-    """Whole parts for each positive weight, at least one each: exact for decimals that ``period`` can express, else to about
-    one part in ``period``."""
+    """Whole parts for each positive weight, at least one each: exact for shares of up to 1 in all that are
+    decimals which ``period`` can express, else to about one part in ``period``. There are about ``period`` parts at most."""
     w = {s: x for s, x in weights.items() if x > 0}
-    if any(abs(x * period - round(x * period)) > 1e-6 for x in w.values()):
+    if sum(w.values()) > 1 + 1e-9 or any(abs(x * period - round(x * period)) > 1e-6 for x in w.values()):
         whole = sum(w.values())
         w = {s: x / whole for s, x in w.items()}
     parts = {s: max(1, round(x * period)) for s, x in w.items()}

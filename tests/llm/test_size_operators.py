@@ -162,7 +162,8 @@ def test_parts():
     assert mixing.parts_of({"a": 0.3, "b": 0.4, "c": 0.2, "d": 0.0}) == {"a": 3, "b": 4, "c": 2}
     parts = mixing.parts_of({"a": 1 / 3, "b": 2 / 3 - 1e-9, "c": 1e-9})
     assert parts["c"] == 1 and abs(parts["a"] / sum(parts.values()) - 1 / 3) < 2e-5
-    assert mixing.parts_of({}) == {}
+    assert mixing.parts_of({}) == {} and mixing.parts_of({"a": 30.0, "b": 70.0}) == {"a": 3, "b": 7}
+    assert sum(mixing.parts_of({"a": 33.33333, "b": 66.66661}).values()) <= mixing.PERIOD + 2
 
 
 def mix_frames(spark):
