@@ -20,7 +20,7 @@ def meet(rows: DataFrame, table: DataFrame, key: str, how: str = "inner") -> Dat
     """``rows`` joined ('inner' or 'left') with ``table``, which has one row per key, on the column ``key``.
 
     Hot keys meet their rows in a broadcast of at most ``MAX_HOT_KEYS`` rows, so no task gets the whole group; all others
-    meet in a shuffle. ``rows`` is read three times, so it should be a written table.
+    meet in a shuffle. ``rows`` is read three times and ``table`` twice, so both should be written tables.
     """
     hot = hot_keys(rows, key)
     known = F.broadcast(hot).join(table, key, how)
