@@ -549,8 +549,8 @@ def repair_encoding(
 
     # A key or a text that very many rows have meets them in a broadcast. A key may have several values, hence the lists.
     keys = cut(asked.select("_h", F.explode(F.split("_keys", "\n")).alias("key")).distinct())
-    found = keys.select("key").distinct().join(words, "key").groupBy("key").agg(F.collect_list("value").alias("values"))
+    found = cut(keys.select("key").distinct().join(words, "key").groupBy("key").agg(F.collect_list("value").alias("values")))
     one = F.concat_ws("\n", "key", "value")
     by_text = meet(keys, found, "key").select("_h", "key", F.explode("values").alias("value")).groupBy("_h").agg(F.array_join(F.collect_list(one), "\n").alias("_answers"))
-    met = meet(asked.drop("_keys"), by_text, "_h", "left").drop("_h")
+    met = meet(asked.drop("_keys"), cut(by_text), "_h", "left").drop("_h")
     return met.mapInPandas(repaired, result)

@@ -573,9 +573,9 @@ def answers(asked: DataFrame, table: DataFrame) -> DataFrame:
     Only keys that are asked for meet the table, each once; a key that very many texts ask for meets them in a broadcast.
     """
     keys = cut(asked.where("_keys != ''").select("_h", F.explode(F.split("_keys", _GAP)).alias("key")).distinct())
-    found = keys.select("key").distinct().join(table, "key")
+    found = cut(keys.select("key").distinct().join(table, "key"))
     one = F.concat_ws(_GAP, "key", "value")
-    return meet(keys, found, "key").groupBy("_h").agg(F.array_join(F.collect_list(one), _GAP).alias("_answers"))
+    return cut(meet(keys, found, "key").groupBy("_h").agg(F.array_join(F.collect_list(one), _GAP).alias("_answers")))
 
 
 #: Lines travel to the windows as one string: a letter for the kind, one for how the line ends, and the text.
