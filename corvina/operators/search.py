@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Callable, Iterator, Sequence
+from typing import TYPE_CHECKING
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,6 +15,10 @@ from corvina.operators.ranking import falling, page
 from corvina.operators.skew import meet
 from corvina.session import cut
 
+if TYPE_CHECKING:
+    import numpy as np
+    import pyarrow as pa
+
 #: The constant of reciprocal rank fusion.
 RRF_K = 60
 
@@ -145,17 +151,82 @@ def require_rows(df: DataFrame, n: int) -> DataFrame:
 # ---------------------------------------------------------------- near duplicates
 
 
-#: Sets of up to so many words are compared by pairs of rare words, larger ones by single rare words.
+#: Sets of up to so many words meet by parts of their words, larger ones by single rare words.
 PAIRED_WORDS = 400
-#: So many of the most used words count as the least rare ones; all others are ordered by their hash.
+#: So many of the most used words of larger sets count as the least rare ones; all others are ordered by their hash.
 COMMON_WORDS = 256
 
 
 def _bags(df: DataFrame, id_column: str, text: str) -> DataFrame:
-    """(id, words, digest): the distinct words of each text as sorted hashes, and a digest of the set; texts without words are left out."""
-    words = F.array_sort(F.transform(F.array_distinct(tokens(text)), lambda w: F.xxhash64(w)))
-    bags = df.select(F.col(id_column).alias("id"), words.alias("words")).where(F.size("words") > 0)
-    return bags.withColumn("digest", F.md5(F.array_join(F.transform("words", lambda h: h.cast("string")), " ")))
+    """(id, words, digest): the distinct words of each text as sorted hashes, and a digest of the set. Texts without words are there,
+    too: a filter here would be pushed below the words and cut each text once more."""
+    words = F.sort_array(F.transform(F.array_distinct(tokens(text)), lambda w: F.xxhash64(w)))
+    bags = df.select(F.col(id_column).alias("id"), words.alias("words"))
+    return bags.withColumn("digest", F.md5(F.array_join(F.col("words").cast("array<string>"), " ")))
+
+
+def _most_apart(total: int, least: float) -> int:
+    """In how many words two sets of ``total`` words together may differ at most."""
+    return total - 2 * math.ceil(total * least / (1 + least) - 1e-6)
+
+
+def _meeting_keys(least: float, most: int, common: list[int]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """From (rid, words) to (k, v, n, s0, s1): the keys on which similar sets meet, the number of words and 128 parity bits of the set.
+
+    Sizes fall into classes, each reaching from a size to that divided by ``least``. Two sets that differ in at most h words agree
+    wholly in one of h + 1 parts, so a set has a key for each part, by its class and by the class above if that is in reach; pairs
+    meet in the class of the larger set. v is rid in the own class, -1 - rid in the one above. Sets of more than ``most`` words
+    have keys of single words instead, those of more than ``most`` * ``least`` have both.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    def mixed(x: np.ndarray, salt: np.ndarray | int) -> np.ndarray:
+        x = (x ^ np.uint64(salt) if isinstance(salt, int) else x ^ salt) * np.uint64(0x9E3779B97F4A7C15)
+        x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        return x ^ (x >> np.uint64(32))
+
+    low = [1]  # the smallest size of each class
+    while low[-1] <= most:
+        low.append(max(low[-1] + 1, math.floor(low[-1] / least + 1e-6)))
+    parts = [max(_most_apart(t, least) for t in (2 * b - 2, 2 * b - 3) if t > 0) + 1 for b in low[1:]]
+    lows, n_parts = np.array(low), np.array(parts)
+    usual, places = np.array(sorted(common), dtype=np.int64), np.array([i for _, i in sorted((w, i) for i, w in enumerate(common, 1))], dtype=np.int64)
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (b.slice(i, 2000) for b in batches for i in range(0, b.num_rows, 2000)):
+            rid, words = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
+            n, flat = np.diff(words.offsets.to_numpy()).astype(np.int64), words.flatten().to_numpy(zero_copy_only=False)
+            row, h = np.repeat(np.arange(len(n)), n), mixed(flat.view(np.uint64), 0)
+            sketch = np.zeros(2 * len(n), np.uint64)
+            np.bitwise_xor.at(sketch, 2 * row + ((h >> np.uint64(6)) & np.uint64(1)).astype(np.int64), np.uint64(1) << (h & np.uint64(63)))
+            out = []
+            own = np.searchsorted(lows, n, "right") - 1
+            for up in (0, 1):
+                level = np.minimum(own + up, len(n_parts) - 1)
+                here = (n <= most) & (own + up < len(n_parts)) & (lows[level] * least <= n + 1e-6 if up else True)
+                size = np.where(here, n_parts[level], 0)
+                start = np.cumsum(size) - size
+                of = np.repeat(np.arange(len(n)), size)
+                key = mixed((level[of] << 32 | (np.arange(len(of)) - start[of])).astype(np.uint64), 1)
+                inside = here[row]
+                r, x = row[inside], h[inside]
+                np.add.at(key, start[r] + ((x >> np.uint64(7)) % size[r].astype(np.uint64)).astype(np.int64), mixed(x, 2))
+                out.append((key, of, -1 - rid[of] if up else rid[of]))
+            inside = (n > most * least)[row]
+            if inside.any():
+                r, w = row[inside], flat[inside]
+                at = np.minimum(np.searchsorted(usual, w), max(0, len(usual) - 1))
+                order = np.lexsort((w, np.where(usual[at] == w, places[at], 0) if len(usual) else w, r))
+                r, w = r[order], w[order]
+                nth = np.arange(len(r)) - np.searchsorted(r, r)
+                first = nth <= n[r] - np.ceil(n[r] * least - 1e-6).astype(np.int64)
+                out.append((mixed(w[first].view(np.uint64), 3), r[first], rid[r[first]]))
+            k, of, v = (np.concatenate(x) for x in zip(*out, strict=True))
+            table = [k.view(np.int64), v, n[of].astype(np.int32), sketch[2 * of].view(np.int64), sketch[2 * of + 1].view(np.int64)]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in table], names=["k", "v", "n", "s0", "s1"])
+
+    return keys
 
 
 def word_set_classes(df: DataFrame, id_column: str, text: str, least: float = 0.8) -> DataFrame:
@@ -163,33 +234,33 @@ def word_set_classes(df: DataFrame, id_column: str, text: str, least: float = 0.
 
     Result: id_a, id_b (id_a < id_b, the smallest ids of their word sets), similarity. Texts with equal word sets are
     one representative (``word_set_members`` has the membership). Texts are cut into words once; from then on a word is its
-    64-bit hash and a set its digest. Candidates come from an exact prefix filter, which holds for any one order of words:
-    here by hash, the ``COMMON_WORDS`` most used ones last. Two similar sets share at least m of the first
-    (1 - least) * size + m words. Sets meet on pairs of such words (m = 2), which are far rarer than words; above
-    ``PAIRED_WORDS`` words, where there would be many pairs, and where one shared word can be enough, on single ones.
+    64-bit hash and a set its digest. Candidates are exact: sets of up to ``PAIRED_WORDS`` words meet where they agree in one of more
+    parts than similar sets can differ in words; a part of three or four words is far rarer than a word, also where texts are
+    made of the same phrases. Larger sets meet on single ones of their first (1 - least) * size + 1 words, the ``COMMON_WORDS``
+    most used ones last. Parity bits of the sets rule out nearly all that are not similar while they meet, so what is
+    written and compared word by word is little more than the result.
     """
-    sets = cut(_bags(df, id_column, text).groupBy("digest").agg(F.min("id").alias("id"), F.any_value("words").alias("words")).select("id", F.size("words").alias("n"), "words"))
-    used = sets.select(F.explode("words").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("df"))
-    common = F.array(*[F.lit(r.w) for r in sorted(used.orderBy(F.desc("df"), "w").limit(COMMON_WORDS).collect(), key=lambda r: (r.df, r.w))]).cast("array<bigint>")
-    spread = F.col("n") - F.ceil(F.col("n") * least).cast("int")
-    ordered = F.concat(F.array_except("words", common), F.array_intersect(common, "words"))
-    rare = sets.select("id", "n", F.slice(ordered, F.lit(1), spread + 2).alias("p"), spread.alias("s"))
-    few, many = F.col("n") <= PAIRED_WORDS, (F.col("n") > PAIRED_WORDS * least) | (F.col("n") <= 1 / least)
-    singles = F.slice("p", F.lit(1), F.col("s") + 1)
-    doubles = F.flatten(F.transform("p", lambda x, i: F.transform(F.slice("p", i + 2, F.size("p")), lambda y: F.xxhash64(F.least(x, y), F.greatest(x, y)))))
-    none = F.array().cast("array<bigint>")
-    keyed = rare.select("id", "n", F.explode(F.array_distinct(F.concat(F.when(few, doubles).otherwise(none), F.when(many, singles).otherwise(none)))).alias("k"))
-    a, b = keyed.select("k", F.col("id").alias("id_a"), F.col("n").alias("n_a")), keyed.select("k", F.col("id").alias("id_b"), F.col("n").alias("n_b"))
+    bags = _bags(df, id_column, text).groupBy("digest").agg(F.min("id").alias("id"), F.any_value("words").alias("words")).where(F.size("words") > 0)
+    sets = cut(bags.select(F.monotonically_increasing_id().alias("rid"), "id", "words"))
+    used = sets.where(F.size("words") > PAIRED_WORDS * least).select(F.explode("words").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("df"))
+    common = [r.w for r in sorted(used.orderBy(F.desc("df"), "w").limit(COMMON_WORDS).collect(), key=lambda r: (r.df, r.w))]
+    keyed = sets.select("rid", "words").mapInArrow(_meeting_keys(least, PAIRED_WORDS, common), "k long, v long, n int, s0 long, s1 long")
+    a, b = (keyed.select("k", *[F.col(c).alias(f"{c}_{side}") for c in ("v", "n", "s0", "s1")]) for side in "ab")
+    total = F.col("n_a") + F.col("n_b")
+    apart = F.bit_count(F.col("s0_a").bitwiseXOR(F.col("s0_b"))) + F.bit_count(F.col("s1_a").bitwiseXOR(F.col("s1_b")))
     near_size = (F.col("n_a") >= least * F.col("n_b")) & (F.col("n_b") >= least * F.col("n_a"))
-    pairs = a.join(b, "k").where((F.col("id_a") < F.col("id_b")) & near_size).select("id_a", "id_b").distinct()
-    words = sets.select("id", "words")
-    full = pairs.join(words.withColumnsRenamed({"id": "id_a", "words": "words_a"}), "id_a").join(words.withColumnsRenamed({"id": "id_b", "words": "words_b"}), "id_b")
+    met = a.where("v_a >= 0").join(b, "k").where((F.col("v_b") < F.col("v_a")) & near_size & (apart <= total - 2 * F.ceil(total * (least / (1 + least)) - 1e-6)))
+    rid_b = F.when(F.col("v_b") < 0, -1 - F.col("v_b")).otherwise(F.col("v_b"))
+    pairs = met.select(F.least("v_a", rid_b).alias("rid_a"), F.greatest("v_a", rid_b).alias("rid_b")).distinct()
+    side = lambda x: sets.select(*[F.col(c).alias(f"{c}_{x}") for c in sets.columns])
+    full = pairs.join(side("a"), "rid_a").join(side("b"), "rid_b")
     shared = F.size(F.array_intersect("words_a", "words_b"))
     similarity = shared / (F.size("words_a") + F.size("words_b") - shared)
-    return full.select("id_a", "id_b", similarity.alias("similarity")).where(F.col("similarity") >= least)
+    found = full.select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"), similarity.alias("similarity"))
+    return found.where(F.col("similarity") >= least)
 
 
 def word_set_members(df: DataFrame, id_column: str, text: str) -> DataFrame:
     """(id, representative): the smallest id with the same word set. A set that very many texts share meets them in a broadcast."""
-    bags = cut(_bags(df, id_column, text).select("id", "digest"))
+    bags = cut(_bags(df, id_column, text).select("id", "digest")).where(F.col("digest") != F.md5(F.lit("")))
     return meet(bags, bags.groupBy("digest").agg(F.min("id").alias("representative")), "digest").select("id", "representative")

@@ -157,6 +157,26 @@ def test_word_sets_of_few_words(spark):
     assert search.word_set_classes(df.limit(0), "id", "t", 0.5).count() == 0 and search.word_set_members(df.limit(0), "id", "t").count() == 0
 
 
+def test_word_sets_of_like_phrases_write_little(spark):
+    """Texts made of the same few phrases share rare words in millions of pairs, which are not to be written down."""
+    rng = random.Random(11)
+    phrases = [[f"p{i}w{j}" for j in range(6)] for i in range(60)]
+    texts = [(i, " ".join(w for p in rng.sample(phrases, 10) for w in [*p, f"n{rng.randrange(300)}"])) for i in range(1500)]
+    texts += [(2000 + i, t + " extra") for i, t in texts[:30]]
+    store = spark.sparkContext._jsc.sc()
+
+    def written() -> int:
+        store.listenerBus().waitUntilEmpty()
+        return store.statusStore().executorList(True).apply(0).totalShuffleWrite()
+
+    before = written()
+    got = {(r.id_a, r.id_b) for r in search.word_set_classes(spark.createDataFrame(texts, "id int, t string"), "id", "t", 0.8).collect()}
+    sets = {i: set(t.split()) for i, t in texts}
+    assert {(i, 2000 + i) for i in range(30)} <= got
+    assert all(len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8 for i, j in got)
+    assert written() - before < 10 * sum(len(t) for _, t in texts)
+
+
 def test_filtered_search(spark):
     rows = [(1, "q1", "full", "Artes", 2020, [1.0, 0.0]), (2, "q1", "full", "artes", 2021, [1.0, 0.1]), (3, "q2", "context", "ARTES", 2021, [0.5, 0.5]), (4, "q3", "full", None, 2021, [0.9, 0.0]), (5, "q4", "full", "artes", 2021, None)]
     df = spark.createDataFrame(rows, "id int, question_id string, chunk_type string, subject string, year int, embedding array<double>")
