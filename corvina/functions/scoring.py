@@ -148,14 +148,23 @@ def layout_of(text: str | Column, keywords: dict[str, list[str]], bias: dict[str
 
 
 def text_features(text: str | Column, options: str | Column) -> Column:
-    """Struct of numeric features of a text and its options for classifiers."""
-    t = F.coalesce(_col(text), F.lit(""))
+    """Struct of numeric features of a text and its options for classifiers; each option is measured once, null ones only count."""
     o = F.coalesce(_col(options), F.array().cast("array<string>"))
+    lengths = F.transform(F.filter(o, lambda x: x.isNotNull()), lambda x: F.length(x).cast("double"))
+    start = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("apart"))
+
+    def step(a: Column, x: Column) -> Column:
+        n, away = a["n"] + 1, x - a["mean"]
+        return F.struct(n.alias("n"), (a["mean"] + away / n).alias("mean"), (a["apart"] + away * (away - away / n)).alias("apart"))
+
+    moments = F.aggregate(lengths, start, step, lambda a: F.struct(a["mean"].alias("mean"), F.when(a["n"] > 0, F.sqrt(a["apart"] / a["n"])).alias("std")))
+    return measured_features(text, F.size(o), moments["mean"], moments["std"])
+
+
+def measured_features(text: str | Column, n_options: Column, mean_option: Column, std_option: Column) -> Column:
+    """``text_features`` where the number of options and the mean and deviation of their lengths are known; null stands for 0."""
+    t = F.coalesce(_col(text), F.lit(""))
     words = F.filter(F.split(F.trim(t), r"\s+"), lambda w: w != "")
-    lengths = F.transform(o, lambda x: F.length(x).cast("double"))
-    n = F.size(o)
-    mean = F.when(n > 0, F.aggregate(lengths, F.lit(0.0), lambda a, x: a + x) / n).otherwise(0.0)
-    variance = F.when(n > 0, F.aggregate(lengths, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean)) / n).otherwise(0.0)
     letters = F.aggregate(words, F.lit(0), lambda a, w: a + F.length(w))
     return F.struct(
         F.length(t).alias("n_chars"),
@@ -165,7 +174,7 @@ def text_features(text: str | Column, options: str | Column) -> Column:
         F.regexp_count(t, F.lit(r"\d")).alias("n_digits"),
         F.regexp_count(t, F.lit(",")).alias("n_commas"),
         F.regexp_count(t, F.lit(r"\?")).alias("n_questions"),
-        n.alias("n_options"),
-        mean.alias("mean_option"),
-        F.sqrt(variance).alias("std_option"),
+        F.coalesce(n_options, F.lit(0)).cast("int").alias("n_options"),
+        F.coalesce(mean_option, F.lit(0.0)).alias("mean_option"),
+        F.coalesce(std_option, F.lit(0.0)).alias("std_option"),
     )

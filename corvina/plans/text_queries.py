@@ -445,7 +445,11 @@ _COUNTED = {"n_sentences": r"[.!?]+", "n_digits": r"\d", "n_commas": ",", "n_que
         FROM (SELECT *, list_filter(regexp_split_to_array(trim(t), '\s+'), lambda x: x <> '') AS w FROM ({_SCORED}))"""
 )
 def difficulty_features(spark, sf):
-    f = _with_options(spark, sf).select("id", scoring.text_features("question_text", "options").alias("f")).select("id", "f.*")
+    """Options are measured where they are read and summed up per question, so one to which very many hang is no long list."""
+    options = read_table(spark, sf, "question_alternatives").select("id", "question_id", F.length("alternative_text").alias("_l")).dropDuplicates(["id"])
+    sums = options.groupBy(F.col("question_id").alias("id")).agg(F.count(F.lit(1)).alias("_n"), F.avg("_l").alias("_mean"), F.stddev_pop("_l").alias("_std"))
+    q = records(spark, sf, "questions").select("id", "question_text").join(sums, "id", "left")
+    f = q.select("id", scoring.measured_features("question_text", F.col("_n"), F.col("_mean"), F.col("_std")).alias("f")).select("id", "f.*")
     return f.withColumns({c: F.round(c, 6) for c in ("mean_word", "mean_option", "std_option")})
 
 

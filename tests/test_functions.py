@@ -1,6 +1,8 @@
 """Text, parsing and scoring functions on literal rows."""
 
 import hashlib
+import statistics
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -171,6 +173,19 @@ def test_layout_and_features(spark):
     assert (rows[1].l.layout, rows[1].f.n_chars) == ("mixed", 0)
 
 
+def test_features_of_many_options(spark):
+    """The time grows with the number of options, not with its square; null options count, but have no length."""
+    df = spark.range(1).select(F.transform(F.sequence(F.lit(1), F.lit(30_000)), lambda i: F.repeat(F.lit("x"), (i % 7).cast("int"))).alias("o"))
+    spark.range(1).select(scoring.text_features(F.lit("t"), F.array(F.lit("a"))).alias("f")).collect()
+    began = time.monotonic()
+    f = df.select(scoring.text_features(F.lit("t"), "o").alias("f")).first().f
+    assert time.monotonic() - began < 10
+    lengths = [i % 7 for i in range(1, 30_001)]
+    assert (f.n_options, round(f.mean_option, 6), round(f.std_option, 6)) == (30_000, round(statistics.fmean(lengths), 6), round(statistics.pstdev(lengths), 6))
+    f = spark.createDataFrame([(["a", None, "bcd"],)], "o array<string>").select(scoring.text_features(F.lit("t"), "o").alias("f")).first().f
+    assert (f.n_options, f.mean_option, f.std_option) == (3, 2.0, 1.0)
+
+
 def test_routing_bounds(spark):
     df = spark.createDataFrame([(0.85,), (0.8499,), (0.55,), (0.1,)], "s double")
     assert [r.r for r in df.select(scoring.route(F.col("s")).alias("r")).collect()] == ["accept", "fallback", "fallback", "dead_letter"]
