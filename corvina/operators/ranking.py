@@ -90,18 +90,25 @@ def interval_join(points: DataFrame, point: str, ranges: DataFrame, low: str, hi
 def overlapping_boxes(left: DataFrame, right: DataFrame, page_column: str, cell: float) -> DataFrame:
     """Pairs of boxes on one page that overlap. Both sides: page, id, x0, y0, x1, y1; result: page, left_id, right_id.
 
-    Boxes are put on a grid of ``cell``; a pair meets in the cells they share and counts in the first of them only.
+    Equal boxes of a page are compared as one and their ids paired afterwards, so the comparisons do not grow with copies, only the
+    result does. Boxes are put on a grid of ``cell``; a pair meets in the cells they share and counts in the first of them only.
     """
+    corners = ("x0", "y0", "x1", "y1")
+    # A fixed number of parts, as few boxes may make very many pairs and would else be put together in fewer tasks than there are cores.
+    spark = left.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 6 * spark.sparkContext.defaultParallelism)
 
     def cells(df: DataFrame, side: str) -> DataFrame:
-        named = df.select(F.col(page_column).alias("page"), *[F.col(c).alias(f"{side}_{c}") for c in ("id", "x0", "y0", "x1", "y1")])
+        alike = df.groupBy(F.col(page_column).alias("page"), *corners).agg(F.collect_list(F.struct("id")).alias("ids"))  # in structs, as null ids would be left out
+        named = alike.select("page", *[F.col(c).alias(f"{side}_{c}") for c in ("ids", *corners)])
         span = lambda a, b: F.sequence(F.floor(F.col(f"{side}_{a}") / cell), F.floor(F.col(f"{side}_{b}") / cell))
-        return named.withColumn("_cx", F.explode(span("x0", "x1"))).withColumn("_cy", F.explode(span("y0", "y1")))
+        return named.withColumn("_cx", F.explode(span("x0", "x1"))).withColumn("_cy", F.explode(span("y0", "y1"))).repartition(parts, "page", "_cx", "_cy")
 
     both = cells(left, "l").join(cells(right, "r"), ["page", "_cx", "_cy"])
     meet = (F.col("l_x0") < F.col("r_x1")) & (F.col("r_x0") < F.col("l_x1")) & (F.col("l_y0") < F.col("r_y1")) & (F.col("r_y0") < F.col("l_y1"))
     first = (F.col("_cx") == F.floor(F.greatest("l_x0", "r_x0") / cell)) & (F.col("_cy") == F.floor(F.greatest("l_y0", "r_y0") / cell))
-    return both.where(meet & first).select("page", F.col("l_id").alias("left_id"), F.col("r_id").alias("right_id"))
+    met = both.where(meet & first).select("page", "l_ids", "r_ids")
+    return met.select("page", F.inline("l_ids").alias("left_id"), "r_ids").select("page", "left_id", F.inline("r_ids").alias("right_id"))
 
 
 def running_budget(df: DataFrame, order: Sequence[Column], cost: str, budget: float, keys: Sequence[str] = ()) -> DataFrame:

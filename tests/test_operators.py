@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -40,6 +41,22 @@ def test_interval_join_and_boxes(spark):
     assert sorted(pairs) == sorted(want)
 
 
+def test_equal_boxes_are_compared_once(spark):
+    boxes = [("x", i, float(i % 3 * 4), 0.0, float(i % 3 * 4 + 5), 9.0) for i in range(300)] + [("x", None, 0.0, 0.0, 1.0, 1.0)]
+    df = spark.createDataFrame(boxes, "page string, id int, x0 double, y0 double, x1 double, y1 double")
+    pairs = ranking.overlapping_boxes(df, df, "page", 7.0)
+    want = [(p[1], q[1]) for p in boxes for q in boxes if p[2] < q[4] and q[2] < p[4]]
+    assert Counter((r.left_id, r.right_id) for r in pairs.collect()) == Counter(want)
+
+    def joined(node) -> list[int]:
+        name = node.nodeName()
+        below = [node.executedPlan()] if name == "AdaptiveSparkPlan" else [node.plan()] if "QueryStage" in name else [node.children().apply(i) for i in range(node.children().size())]
+        own = [node.metrics().apply("numOutputRows").value()] if "Join" in name else []
+        return own + [n for x in below for n in joined(x)]
+
+    assert joined(pairs._jdf.queryExecution().executedPlan()) == [10]  # four different boxes with themselves, and three neighbours both ways
+
+
 def test_canonical_rows_with_nulls_and_ties(spark):
     df = spark.createDataFrame([("a", "g", None), ("b", "g", 0.5), ("c", "g", 0.5), ("d", "h", None), ("e", "h", None)], "id string, g string, s double")
     got = {r.id: (r.canonical_id, r.group_size) for r in ranking.canonical_rows(df, "g", "s", "id").collect()}
