@@ -569,7 +569,7 @@ _WORD_SETS = f"SELECT w, min(id) AS id FROM (SELECT id, list_sort(list_distinct(
         FROM s a JOIN s b ON a.id < b.id AND len(a.w) >= 0.8 * len(b.w) AND len(b.w) >= 0.8 * len(a.w)) WHERE n >= 0.8 * (la + lb - n)"""
 )
 def similar_word_sets(spark, sf):
-    """Pairs of different word sets among questions that share at least 0.8 of their words, by an exact prefix filter."""
+    """Pairs of different word sets among questions that share at least 0.8 of their words; all of them, as the filters are exact."""
     return search.word_set_classes(records(spark, sf, "questions"), "id", "question_text", 0.8)
 
 
